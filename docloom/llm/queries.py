@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docloom.llm import lang_id, token_count
+from docloom.llm import decontam, lang_id, quality_knn, rules, token_count
 from docloom.llm.common import table
 
 
@@ -12,12 +12,27 @@ def op1_language_id(spark, sf_dir):
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark, sf_dir):
+    return quality_knn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality_rules(spark, sf_dir):
+    return rules.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark, sf_dir):
+    return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark, sf_dir):
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_decontamination": op6_decontamination,
     "op10_token_counts": op10_token_counts,
 }
 
