@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docloom.llm import decontam, lang_id, quality_knn, rules, token_count
+from docloom.llm import decontam, lang_id, line_dedup, mixing, quality_knn, rules, token_count
 from docloom.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_language_id(spark, sf_dir):
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark, sf_dir):
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark, sf_dir):
     return quality_knn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,15 +28,21 @@ def op6_decontamination(spark, sf_dir):
     return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_line_dedup(spark, sf_dir):
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark, sf_dir):
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_mixing": op2_mixing,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
+    "op8_line_dedup": op8_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
