@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docloom.llm import decontam, lang_id, line_dedup, mixing, quality_knn, rules, token_count
+from docloom.llm import decontam, lang_id, line_dedup, mixing, pii, quality_knn, rules, token_count
 from docloom.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op6_decontamination(spark, sf_dir):
     return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_personal_data(spark, sf_dir):
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark, sf_dir):
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
+    "op7_personal_data": op7_personal_data,
     "op8_line_dedup": op8_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
