@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docloom.llm import decontam, lang_id, line_dedup, mixing, pii, quality_knn, rules, token_count
+from docloom.llm import decontam, lang_id, line_dedup, mixing, phrase_dedup, pii, quality_knn, rules, token_count
 from docloom.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op8_line_dedup(spark, sf_dir):
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return phrase_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark, sf_dir):
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_personal_data": op7_personal_data,
     "op8_line_dedup": op8_line_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
