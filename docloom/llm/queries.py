@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docloom.llm import decontam, lang_id, line_dedup, mixing, phrase_dedup, pii, quality_knn, rules, token_count
+from docloom.llm import decontam, jaccard, lang_id, line_dedup, mixing, phrase_dedup, pii, quality_knn, rules, token_count
 from docloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_quality_classifier(spark, sf_dir):
     return quality_knn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_jaccard(spark, sf_dir):
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return rules.digest(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op7_personal_data": op7_personal_data,
