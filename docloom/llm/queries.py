@@ -6,6 +6,7 @@ import public_tokenizers
 
 from docloom.llm import decontam, jaccard, lang_id, line_dedup, mixing, phrase_dedup, pii, quality_knn, rules, token_count
 from docloom.llm.common import table
+from docloom.llm.oracles import ORACLE_SQL
 
 
 def op1_language_id(spark, sf_dir):
@@ -61,4 +62,4 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

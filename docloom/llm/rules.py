@@ -86,22 +86,19 @@ def hosts(rows: DataFrame, max_rate: float = HOST_RATE) -> DataFrame:
     such a spread share one rate.  A null host is a host.
     """
     by = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rule_failed").cast("long")).alias("k"))
-    p, v = F.col("mean"), F.greatest(F.col("spread"), F.lit(1e-9))
-    prior = by.agg(
-        (F.sum("k") / F.sum("n")).alias("mean"),
-        F.sum("n").cast("double").alias("total"),
-        F.count(F.lit(1)).cast("double").alias("n_hosts"),
-        F.sum(F.col("k").cast("double") * F.col("k") / F.col("n")).alias("squares"),
-        F.sum(F.col("n").cast("double") * F.col("n")).alias("sizes"),
-    )
+    total, k, n_hosts, squares, sizes = by.agg(
+        F.coalesce(F.sum("n"), F.lit(0)),
+        F.coalesce(F.sum("k"), F.lit(0)),
+        F.count(F.lit(1)),
+        F.coalesce(F.sum(F.col("k").cast("double") * F.col("k") / F.col("n")), F.lit(0.0)),
+        F.coalesce(F.sum(F.col("n").cast("double") * F.col("n")), F.lit(0.0)),
+    ).first()
     # moments for unequal sizes: sum n (k/n - p)^2 = squares - total p^2
-    between = F.col("squares") - F.col("total") * p * p
-    within = (F.col("n_hosts") - 1) * p * (1 - p)
-    room = F.col("total") - F.col("sizes") / F.col("total")
-    prior = prior.select("mean", F.when(room > 0, (between - within) / room).otherwise(0.0).alias("spread"))
-    prior = prior.select("mean", F.greatest(p * (1 - p) / v - 1, F.lit(1e-3)).alias("strength"))
-    by = by.crossJoin(F.broadcast(prior))
-    rate = (F.col("k") + F.col("strength") * p) / (F.col("n") + F.col("strength"))
+    p = k / total if total else 0.0
+    room = total - sizes / total if total else 0.0
+    spread = (squares - total * p * p - (n_hosts - 1) * p * (1 - p)) / room if room > 0 else 0.0
+    strength = max(p * (1 - p) / max(spread, 1e-9) - 1, 1e-3)
+    rate = (F.col("k") + F.lit(strength * p)) / (F.col("n") + F.lit(strength))
     return by.select("host", F.col("n").alias("n_docs"), F.col("k").alias("n_failed"), rate.alias("rate"), (rate <= max_rate).alias("host_kept"))
 
 
@@ -116,8 +113,8 @@ def judge(documents: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) ->
 
 
 def digest(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, host_rate)."""
-    return judge(documents).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
+    return judge(documents).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def clean(documents: DataFrame) -> DataFrame:
