@@ -10,17 +10,20 @@ one short array a host, and page texts are never shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import SPACE, small, written
 
 RATIO = 0.03
 MIN_PAGES = 5
-_HOST = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")).alias("host")
 
 
-def _lines():
+def _host() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")).alias("host")
+
+
+def _lines() -> Column:
     return F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
 
 
@@ -32,7 +35,7 @@ def boilerplate(documents: DataFrame, *, ratio: float = RATIO, min_pages: int =
     """
     worded = F.filter(_lines(), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
     keys = F.array_distinct(F.transform(worded, lambda x: F.md5(x)))
-    seen = documents.select(_HOST, F.explode(F.concat(keys, F.array(F.lit("")))).alias("line_md5"))
+    seen = documents.select(_host(), F.explode(F.concat(keys, F.array(F.lit("")))).alias("line_md5"))
     # the empty key stands for the page itself, so one pass gives lines and totals
     counts = written(seen.groupBy("host", "line_md5").agg(F.count(F.lit(1)).alias("n_pages")).where(f"n_pages >= {int(min_pages)} or line_md5 = ''"), "lines")
     pages = counts.where("line_md5 = ''").select("host", F.col("n_pages").alias("host_pages"))
@@ -46,7 +49,7 @@ def drop_lines(documents: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), rat
     empty.  The other lines keep their order and blank lines.
     """
     lists = written(boilerplate(documents, ratio=ratio, min_pages=min_pages).groupBy("host").agg(F.collect_list("line_md5").alias("bad")), "boilerplate")
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").cast("string").alias("text"), _HOST)
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").cast("string").alias("text"), _host())
     rows = rows.join(small(lists, 100_000), "host", "left")
     lines = _lines()
     kept = F.when(F.col("bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("bad", F.md5(x))))
