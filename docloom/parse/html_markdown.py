@@ -103,7 +103,12 @@ class Converter:
     def blocks(self) -> Blocks:
         out = self.inside(self.top)
         for label, node in self.notes.definitions:
-            out.append(("note", label, self.inside(node, note=True)))
+            body = self.inside(node, note=True)
+            if body and body[0][0] == "p":
+                # the definition may repeat its own number
+                text = re.sub(rf"^(?:\*\*)?(?:\[{label}\]:?|{label}[.:)])(?:\*\*)?(?:\s+|$)", "", body[0][1])
+                body[:1] = [("p", text)] if text else []
+            out.append(("note", label, body))
         return out
 
     def inside(self, i: int, note: bool = False) -> Blocks:
