@@ -503,3 +503,57 @@ def l11_paragraphs(spark, folder):
 def l3_page_text(spark, folder):
     """Text of each page with gaps as newlines."""
     return layout.page_text(layout.lines(_fragments(spark, folder)))
+
+
+# ---- files ----
+
+
+@query()
+def k5_docx_round_trip(spark, folder):
+    """Every conversation written as a word-processor file and read back as Markdown."""
+    from docloom.sinks.files import to_docx
+    from docloom.sources.office import docx_markdown
+
+    turns = table(spark, folder, "conversations").withColumn("md", F.concat(F.lit("# "), "role", F.lit("\n\n"), "text"))
+    books = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "md"))), lambda x: x["md"]), "\n\n").alias("text"))
+    files = to_docx(books, key="conv_id").select(F.col("conv_id").alias("path"), "content")
+    return docx_markdown(files).select(F.col("path").alias("conv_id"), "text")
+
+
+@query()
+def s9_docx_runs(spark, folder):
+    """Runs of word-processor files made of every text."""
+    from docloom.sinks.files import to_docx
+    from docloom.sources.office import docx_runs
+
+    files = to_docx(table(spark, folder, "documents")).select(F.col("doc_id").alias("path"), "content")
+    return docx_runs(files).select(F.col("path").alias("doc_id"), "para", "seq", "style", "text", "bold", "italic", "_error")
+
+
+@query()
+def k6_epub(spark, folder):
+    """Size and checksum of an EPUB of every text."""
+    from docloom.sinks.files import to_epub
+
+    return to_epub(table(spark, folder, "documents")).select("doc_id", F.length("content").alias("n_bytes"), F.crc32("content").alias("crc32"), "_error")
+
+
+@query("SELECT lang, count(DISTINCT md5(text)) AS n_texts FROM documents GROUP BY lang")
+def t_stream_of_texts(spark, folder):
+    """The tables as a stream: all that is there goes through an operator and back to a table."""
+    import uuid
+
+    from docloom.streaming import streams
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="docloom-"))
+        base = spark.sparkContext.getCheckpointDir()
+    base = f"{base.rstrip('/')}/docloom/stream-{uuid.uuid4().hex}"
+    path = f"{folder}/documents.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = streams.table(spark, path if not path.endswith(".parquet") else f"{folder}/documents.parquet*", schema)
+    streams.run_available(stream, lambda df: df.select("doc_id", "lang", F.md5("text").alias("key")), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").groupBy("lang").agg(F.count_distinct("key").alias("n_texts"))
