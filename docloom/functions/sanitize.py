@@ -31,12 +31,12 @@ def sanitize(text: str | None) -> dict:
     parts = []
     for m in _CLUSTER.finditer(text):
         cluster = m[0]
-        if len(cluster) == 1 and cluster < "̀":
+        if len(cluster) == 1 and cluster < "\u0300":
             parts.append(cluster)
             out["max_cluster"] = max(out["max_cluster"], 1)
             continue
         out["max_cluster"] = max(out["max_cluster"], len(cluster))
-        if "‍" in cluster:
+        if "\u200d" in cluster:
             out["zwj_chain"] = max(out["zwj_chain"], len(cluster))
         flag, kept, marks, plain = _flag(cluster), [], 0, 0
         trimmed = False
@@ -50,14 +50,14 @@ def sanitize(text: str | None) -> dict:
                 continue
             if _selector(c) and (not kept or _selector(ord(kept[-1]))):
                 continue
-            if ch == "‍" and plain >= MAX_JOINED:
+            if ch == "\u200d" and plain >= MAX_JOINED:
                 break
             if unicodedata.category(ch)[0] == "M" and not _selector(c):
                 marks += 1
                 if marks > MAX_MARKS:
                     trimmed = True
                     continue
-            plain += ch != "‍"
+            plain += ch != "\u200d"
             kept.append(ch)
         out["excessive_marks"] += (marks > 5) + trimmed
         parts.append("".join(kept[:MAX_CLUSTER]))

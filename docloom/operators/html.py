@@ -161,3 +161,27 @@ def table_kinds(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     per = per.join(inner, [key, "table_id"], "left")
     layout = F.coalesce("has_inner", F.lit(False)) | (F.col("n_rows") <= 1) | (F.col("first") <= 1) | (F.col("image_only") > 0.5 * F.col("n_cells")) | (F.col("many") > 0.3 * F.col("n_cells")) | (F.col("spread") > 1.0)
     return per.select(key, "table_id", "n_rows", "n_cells", "spread", layout.alias("is_layout"))
+
+
+def css_rules(sheets: DataFrame, *, key: str = "page_id", css: str = "value") -> DataFrame:
+    """(key, ord, selector, a, b, c, prop, value, important, _error) of style sheets."""
+
+    def run(text):
+        from docloom.parse.css import rules
+
+        return rules(text or "")
+
+    return rowwise(sheets, run, [css], "ord int, selector string, a int, b int, c int, prop string, value string, important boolean", [key], many=True)
+
+
+def computed_styles(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, node_id, prop, value, inherited, _error): the styles that the page's own sheets give its nodes."""
+
+    def run(text):
+        from docloom.parse.css import styles
+
+        tree = _parsed(text, None)
+        own = "\n".join(tree.text[i] for i in range(len(tree)) if tree.kind[i] == "raw" and tree.tag[tree.parent[i]] == "style")
+        return styles(tree, own)
+
+    return rowwise(pages, run, [html], "node_id int, prop string, value string, inherited boolean", [key], many=True)

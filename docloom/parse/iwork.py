@@ -338,7 +338,7 @@ def slide_texts(content: bytes) -> Iterator[dict]:
         for j in [i, *store.references(store.by_id[i][1])]:
             if m := store.get(j, STORAGE):
                 text = storage_text(m)
-                if text.replace("￼", "").strip():
+                if text.replace("\ufffc", "").strip():
                     return text
         return None
 
@@ -362,7 +362,6 @@ def page_paragraphs(content: bytes) -> Iterator[dict]:
         return
     body = bodies[0]
     text = storage_text(body)
-    units = text.encode("utf-16-le")
     runs = sorted(((e.number(1, 0), e.ref(2)) for e in (Message(x) for x in (body.message(5).many(1) if body.message(5) else []))), key=lambda r: r[0])
 
     def looked_up(style: int | None, read) -> object:
@@ -379,9 +378,8 @@ def page_paragraphs(content: bytes) -> Iterator[dict]:
         return None
 
     at = seq = 0
-    for part in text.replace(" ", "\n").split("\n"):
+    for part in text.replace("\u2029", "\n").split("\n"):
         style = next((s for start, s in reversed(runs) if start <= at), None)
         yield {"seq": seq, "text": part, "font_size": looked_up(style, lambda p: p.float(3)), "bold": bool(looked_up(style, lambda p: p.number(1))), "italic": bool(looked_up(style, lambda p: p.number(2))), "style_id": style}
         at += len(part.encode("utf-16-le")) // 2 + 1
         seq += 1
-    assert at * 2 <= len(units) + 2

@@ -103,6 +103,19 @@ def h17_stylesheets(spark, folder):
     return html.stylesheets(html.dom_nodes(table(spark, folder, "pages")))
 
 
+@query()
+def c1_css_rules(spark, folder):
+    """Declarations of every page's style sheets."""
+    sheets = html.stylesheets(html.dom_nodes(table(spark, folder, "pages"))).where("kind = 'inline'")
+    return html.css_rules(sheets)
+
+
+@query()
+def c5_computed_styles(spark, folder):
+    """Computed styles of every page's nodes."""
+    return html.computed_styles(table(spark, folder, "pages"))
+
+
 @query(
     r"""
 SELECT page_id, (1 + len(regexp_extract_all(html, '(?i)<style')))::BIGINT > 1 AS has_style, len(regexp_extract_all(html, '<script'))::BIGINT AS n_scripts FROM pages
