@@ -177,14 +177,14 @@ def l15_first_lines(spark, folder):
 
 
 @query(
-    "SELECT p_partkey, CASE WHEN n <= 26 THEN chr((97 + (n - 1) % 26)::INT) WHEN n <= 702 THEN chr((97 + (n - 27) // 26)::INT) || chr((97 + (n - 1) % 26)::INT) ELSE chr((97 + (n - 703) // 676)::INT) || chr((97 + ((n - 27) // 26) % 26)::INT) || chr((97 + (n - 1) % 26)::INT) END AS letters, "
-    "repeat('m', (n // 1000)::INT) || ['','c','cc','ccc','cd','d','dc','dcc','dccc','cm'][n // 100 % 10 + 1] || ['','x','xx','xxx','xl','l','lx','lxx','lxxx','xc'][n // 10 % 10 + 1] || ['','i','ii','iii','iv','v','vi','vii','viii','ix'][n % 10 + 1] AS numeral "
-    "FROM (SELECT p_partkey, p_partkey + 1 AS n FROM part WHERE p_partkey < 3999)"
+    "SELECT p_partkey, CASE WHEN n > 18278 THEN NULL WHEN n <= 26 THEN chr((97 + (n - 1) % 26)::INT) WHEN n <= 702 THEN chr((97 + (n - 27) // 26)::INT) || chr((97 + (n - 1) % 26)::INT) ELSE chr((97 + (n - 703) // 676)::INT) || chr((97 + ((n - 27) // 26) % 26)::INT) || chr((97 + (n - 1) % 26)::INT) END AS letters, "
+    "CASE WHEN n <= 3999 THEN repeat('m', (n // 1000)::INT) || ['','c','cc','ccc','cd','d','dc','dcc','dccc','cm'][n // 100 % 10 + 1] || ['','x','xx','xxx','xl','l','lx','lxx','lxxx','xc'][n // 10 % 10 + 1] || ['','i','ii','iii','iv','v','vi','vii','viii','ix'][n % 10 + 1] END AS numeral "
+    "FROM (SELECT p_partkey, p_partkey + 1 AS n FROM part)"
 )
 def d6_number_formats(spark, folder):
     """Letters and Roman numerals of part numbers."""
     n = (F.col("p_partkey") + 1).cast("int")
-    return table(spark, folder, "part").where("p_partkey < 3999").select("p_partkey", T.alphabetic(n).alias("letters"), T.roman(n).alias("numeral"))
+    return table(spark, folder, "part").select("p_partkey", T.alphabetic(n).alias("letters"), T.roman(n).alias("numeral"))
 
 
 @query()
@@ -303,7 +303,7 @@ def p9_weighted_mode(spark, folder):
 
 @query(
     """
-WITH p AS (SELECT conv_id AS doc_id, turn AS seq, substr(text, 1, 180) AS text, (10 + 2 * (length(text) % 7))::DOUBLE AS font_size, role = 'user' AS bold FROM conversations),
+WITH p AS (SELECT conv_id AS doc_id, turn AS seq, text, (10 + 2 * (length(text) % 7))::DOUBLE AS font_size, role = 'user' AS bold FROM conversations),
 b AS (SELECT doc_id, arg_max(font_size, (chars, -font_size)) AS body FROM (SELECT doc_id, font_size, sum(length(text)) AS chars FROM p GROUP BY ALL) GROUP BY doc_id)
 SELECT doc_id, seq, CASE WHEN length(text) <= (CASE WHEN bold THEN 200 ELSE 140 END) AND NOT contains(text, chr(10)) AND trim(text) <> '' AND font_size / body > 1.15
   THEN CASE WHEN font_size / body >= 1.8 THEN 1 WHEN font_size / body >= 1.4 THEN 2 ELSE 3 END END AS heading
@@ -312,7 +312,7 @@ FROM p JOIN b USING (doc_id)
 )
 def p10_headings(spark, folder):
     """Headings by size ratio to the dominant size, over turns as paragraphs."""
-    rows = _turns(spark, folder).select("doc_id", "seq", F.substring("text", 1, 180).alias("text"), (10 + 2 * (F.length("text") % 7)).cast("double").alias("font_size"), (F.col("role") == "user").alias("bold"), F.lit(None).cast("int").alias("explicit_level"))
+    rows = _turns(spark, folder).select("doc_id", "seq", "text", (10 + 2 * (F.length("text") % 7)).cast("double").alias("font_size"), (F.col("role") == "user").alias("bold"), F.lit(None).cast("int").alias("explicit_level"))
     return paragraphs.headings(rows).select("doc_id", "seq", "heading")
 
 
@@ -482,7 +482,7 @@ def l10_split_by_gap(spark, folder):
 
 @query(
     f"""
-WITH f AS ({_FRAGMENTS}), b AS (SELECT doc_id, page, seq AS block, x AS bx, y AS "by", w AS bw, 3 * h AS bh FROM f WHERE seq % 2 = 1)
+WITH f AS ({_FRAGMENTS}), b AS (SELECT doc_id, page, seq AS block, x AS bx, y AS "by", w AS bw, 3 * h AS bh FROM f)
 SELECT doc_id, page, seq, min(block) AS block FROM f JOIN b USING (doc_id, page)
 WHERE y + h / 2 BETWEEN "by" - greatest(0.15 * h, 0.01) AND "by" + bh + greatest(0.15 * h, 0.01) AND x < bx + bw + greatest(0.15 * h, 0.01) AND x + w > bx - greatest(0.15 * h, 0.01)
 GROUP BY doc_id, page, seq
@@ -491,7 +491,7 @@ GROUP BY doc_id, page, seq
 def l7_assigned_lines(spark, folder):
     """Lines assigned to the first block around them."""
     lines = _fragments(spark, folder)
-    return layout.assigned(lines, lines.where("seq % 2 = 1").withColumn("h", 3 * F.col("h")))
+    return layout.assigned(lines, lines.withColumn("h", 3 * F.col("h")))
 
 
 @query()
