@@ -45,6 +45,11 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of whole texts small in this session, so that a worker's memory does not follow them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """``crc32(doc_id as text) mod parts``; null for a null id."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import kernels
-from docloom.llm.common import small, written
+from docloom.llm.common import small, small_batches, written
 
 WIDTH = 50
 PHRASE = 6
@@ -168,6 +168,7 @@ def dedup(documents: DataFrame, *, width: int = WIDTH, phrase: int = PHRASE) ->
     space.  A null text has no words.  A null id is never a smaller id and its
     row loses nothing; rows of one id do not remove each other's words.
     """
+    small_batches(documents.sparkSession)
     rows = written(sequences(documents, width=width, phrase=phrase), "sequences")
     light = rows.drop("phrases")
     copies = light.where(F.col("n_words") >= width).groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
