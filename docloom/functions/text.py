@@ -176,3 +176,31 @@ def png_size(data: Column | str) -> Column:
     d = _c(data)
     number = lambda at: F.conv(F.hex(F.substring(d, at, 4)), 16, 10).cast("long")
     return F.when(F.hex(F.substring(d, 1, 8)) == "89504E470D0A1A0A", F.struct(number(17).alias("width"), number(21).alias("height")))
+
+
+def collapsed(text: Column | str) -> Column:
+    """White space runs to one space; a leading or trailing space stays as one."""
+    t = _c(text)
+    body = F.regexp_replace(F.regexp_replace(t, r"^\s+|\s+$", ""), r"\s+", " ")
+    return F.concat(F.when(t.startswith(" "), " ").otherwise(""), body, F.when(t.endswith(" "), " ").otherwise(""))
+
+
+# Heading words of older page files by language, with their levels.
+LEGACY_TITLES = ("title", "titel", "titre", "título", "titolo", "タイトル")
+LEGACY_HEADINGS = ("heading", "überschrift", "titre de section", "encabezado", "intestazione", "見出し")
+
+
+def legacy_heading(name: Column | str) -> Column:
+    """Heading level of an older page file's style name: titles are 1, headings by their digit or 1."""
+    n = F.lower(_c(name))
+    digit = F.regexp_extract(n, r"([1-6])", 1)
+    any_of = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: n.startswith(w))
+    return F.when(any_of(LEGACY_HEADINGS), F.when(digit != "", F.try_to_number(digit, F.lit("9")).cast("int")).otherwise(1)).when(any_of(LEGACY_TITLES), 1)
+
+
+def print_document(fragment: Column | str, title: Column | str, paper: str = "A4", landscape: bool = False, break_level: int | None = None, css: str = "") -> Column:
+    """An HTML document for printing: paper size, orientation, page breaks before headings of one level."""
+    rules = f"@page {{ size: {paper}{' landscape' if landscape else ''}; }}"
+    if break_level:
+        rules += f" h{break_level} {{ break-before: page; }} h{break_level}:first-of-type {{ break-before: auto; }}"
+    return html_document(fragment, title, f"{rules} {css}".strip())

@@ -69,3 +69,22 @@ def sheets_markdown(tables: DataFrame, doc: str = "doc_id") -> DataFrame:
     first = F.row_number().over(Window.partitionBy(doc, "sheet_seq").orderBy("table_seq")) == 1
     rows = tables.withColumn("_v", F.concat(F.when(many & first, F.concat(F.lit("## "), "sheet", F.lit("\n\n"))).otherwise(""), "markdown"))
     return rows.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet_seq", "table_seq", "_v"))), lambda x: x["_v"]), "\n\n").alias("markdown"))
+
+
+def as_json(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, json): a table as {"rows": [[..], ..]}, gaps as empty strings."""
+    cells = cells.withColumn("col", F.col("col").cast("int"))
+    width = cells.groupBy(*keys).agg((F.max("col") + 1).alias("_n"))
+    lines = cells.groupBy(*keys, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", F.coalesce("value", F.lit("")).alias("v")))).alias("_m")).join(width, keys)
+    lines = lines.select(*keys, "row", F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.coalesce(F.element_at("_m", i.cast("int")), F.lit(""))).alias("r"))
+    return lines.groupBy(*keys).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("row", "r"))), lambda x: x["r"]).alias("rows"))).alias("json"))
+
+
+def as_html(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, html): the first row as header cells."""
+    from docloom.functions.text import escape_text
+
+    tag = F.when(F.col("row") == 0, "th").otherwise("td")
+    cells = cells.withColumn("col", F.col("col").cast("int")).withColumn("_h", F.concat(F.lit("<"), tag, F.lit(">"), escape_text(F.coalesce("value", F.lit(""))), F.lit("</"), tag, F.lit(">")))
+    lines = cells.groupBy(*keys, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "_h"))), lambda x: x["_h"]), "").alias("_l"))
+    return lines.groupBy(*keys).agg(F.concat(F.lit("<table><tr>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "_l"))), lambda x: x["_l"]), "</tr><tr>"), F.lit("</tr></table>")).alias("html"))

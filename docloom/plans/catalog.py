@@ -570,3 +570,155 @@ def t_stream_of_texts(spark, folder):
     stream = streams.table(spark, path if not path.endswith(".parquet") else f"{folder}/documents.parquet*", schema)
     streams.run_available(stream, lambda df: df.select("doc_id", "lang", F.md5("text").alias("key")), f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out").groupBy("lang").agg(F.count_distinct("key").alias("n_texts"))
+
+
+# ---- more of the function and operator surface ----
+
+
+@query("""SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;')) AS xml_md5 FROM documents""")
+def m21_escape_xml(spark, folder):
+    """XML escape of every text."""
+    return table(spark, folder, "documents").select("doc_id", F.md5(T.escape_xml("text")).alias("xml_md5"))
+
+
+@query(r"SELECT doc_id, md5(CASE WHEN starts_with(text, ' ') THEN ' ' ELSE '' END || regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') || CASE WHEN ends_with(text, ' ') THEN ' ' ELSE '' END) AS text_md5 FROM documents")
+def h5_collapsed(spark, folder):
+    """Every text with its white space collapsed."""
+    return table(spark, folder, "documents").select("doc_id", F.md5(T.collapsed("text")).alias("text_md5"))
+
+
+@query("SELECT conv_id AS doc_id, turn AS seq, md5(CASE role WHEN 'user' THEN '**' || text || '**' WHEN 'assistant' THEN '~~*' || text || '*~~' ELSE text END) AS text_md5 FROM conversations WHERE text = trim(text) AND NOT regexp_matches(text, '^\\s|\\s$') AND text <> ''")
+def d3_run_markdown(spark, folder):
+    """Turns as styled runs, marked up."""
+    rows = _turns(spark, folder).where("text = trim(text) and not text rlike '^\\\\s|\\\\s$' and text <> ''")
+    assistant = F.col("role") == "assistant"
+    return rows.select("doc_id", "seq", F.md5(T.run_markdown("text", F.col("role") == "user", assistant, assistant)).alias("text_md5"))
+
+
+@query(
+    """
+WITH c AS (SELECT o_custkey AS t, ((r - 1) // 3)::INT AS row, ((r - 1) % 3)::INT AS col, CASE WHEN r % 4 = 1 THEN o_orderpriority END AS value
+  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)),
+m AS (SELECT t, max(row) AS mr, max(col) AS mc FROM c WHERE value IS NOT NULL GROUP BY t)
+SELECT c.t, c.row, c.col, c.value FROM c JOIN m ON m.t = c.t WHERE c.row <= mr AND c.col <= mc
+"""
+)
+def n9_used_range(spark, folder):
+    """Each customer's orders as a sparse grid, cropped to the cells with a value."""
+    from pyspark.sql.window import Window
+
+    r = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    cells = table(spark, folder, "orders").withColumn("r", r).select(F.col("o_custkey").alias("t"), F.floor((F.col("r") - 1) / 3).cast("int").alias("row"), ((F.col("r") - 1) % 3).cast("int").alias("col"), F.when(F.col("r") % 4 == 1, F.col("o_orderpriority")).alias("value"))
+    return tables.used_range(cells, ["t"])
+
+
+@query("SELECT 1 AS table_id, '<table><tr><th>key</th><th>name</th><th>region</th></tr><tr>' || string_agg('<td>' || n_nationkey || '</td><td>' || n_name || '</td><td>' || n_regionkey || '</td>', '</tr><tr>' ORDER BY n_nationkey) || '</tr></table>' AS html FROM nation")
+def n11_html(spark, folder):
+    """Nations as an HTML table."""
+    return tables.as_html(tables.used_range(_nation_cells(spark, folder), ["table_id"]), ["table_id"])
+
+
+@query("""SELECT 1 AS table_id, '{"rows":[["key","name","region"],' || string_agg('["' || n_nationkey || '","' || n_name || '","' || n_regionkey || '"]', ',' ORDER BY n_nationkey) || ']}' AS json FROM nation""")
+def n11_json(spark, folder):
+    """Nations as JSON rows."""
+    return tables.as_json(tables.used_range(_nation_cells(spark, folder), ["table_id"]), ["table_id"])
+
+
+@query(
+    f"""
+WITH f AS ({_FRAGMENTS}) SELECT a.doc_id, a.seq, count(*) FILTER (o > 0)::BIGINT AS n_over, max(r) AS ratio FROM (
+  SELECT a.doc_id, a.seq, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS o,
+    CASE WHEN least(a.w * a.h, b.w * b.h) > 0 THEN greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) / least(a.w * a.h, b.w * b.h) ELSE 0 END AS r
+  FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.page = b.page) a GROUP BY ALL
+"""
+)
+def l6_overlaps(spark, folder):
+    """For each fragment how many on its page it overlaps, and the largest ratio."""
+    from docloom.functions.geometry import overlap, overlap_ratio
+
+    f = _fragments(spark, folder).select("doc_id", "page", "seq", F.struct("x", "y", "w", "h").alias("r"))
+    both = f.join(f.select("doc_id", "page", F.col("r").alias("o")), ["doc_id", "page"])
+    return both.groupBy("doc_id", "seq").agg(F.count_if(overlap(F.col("r"), F.col("o")) > 0).alias("n_over"), F.max(overlap_ratio(F.col("r"), F.col("o"))).alias("ratio"))
+
+
+@query(
+    """
+SELECT conv_id AS doc_id, (turn // 3)::INT AS idx, arg_min(text, turn % 3) FILTER (turn % 3 < 2) AS title, min(text) FILTER (turn % 3 = 2) AS notes
+FROM conversations WHERE trim(text) <> '' GROUP BY ALL
+"""
+)
+def k17_slides(spark, folder):
+    """Slides of three turns each: title and notes."""
+    rows = _turns(spark, folder).select("doc_id", F.floor(F.col("seq") / 3).cast("int").alias("idx"), (F.col("seq") % 3).alias("seq"), F.when(F.col("seq") % 3 == 2, "note").otherwise("text").alias("kind"), "text", F.lit(False).alias("is_layout"))
+    return paragraphs.slides(rows).select("doc_id", "idx", "title", "notes")
+
+
+@query("SELECT * FROM (VALUES (1, 'a/x.png', 'x.png'), (1, 'b/x.png', 'x-2.png'), (1, 'c/y.png?q', 'y.png')) AS t(page_id, src, name)")
+def k2_saved_names(spark, folder):
+    """Unique file names of a page's images."""
+    images = spark.createDataFrame([(1, 1, "a/x.png"), (1, 2, "b/x.png"), (1, 3, "a/x.png"), (1, 4, "c/y.png?q")], "page_id int, seq int, src string")
+    return html.saved_image_names(images)
+
+
+_TABLES = [
+    (1, "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>"),
+    (2, "<table><tr><td><table><tr><td>x</td><td>y</td></tr><tr><td>x</td><td>y</td></tr></table></td><td>z</td></tr><tr><td>1</td><td>2</td></tr></table>"),
+    (3, "<table><tr><td>r</td></tr><tr><td>s</td></tr></table>"),
+    (4, "<table><tr><td><img src=a></td><td><img src=b></td></tr><tr><td><img src=c></td><td>t</td></tr></table>"),
+]
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, false), (2, true), (2, false), (3, true), (4, true)) AS t(page_id, is_layout)")
+def h13_table_kinds(spark, folder):
+    """Which tables of a small fixture only arrange."""
+    nodes = html.dom_nodes(spark.createDataFrame(_TABLES, "page_id long, html string"), base=None)
+    return html.table_kinds(nodes).select("page_id", "is_layout")
+
+
+@query("SELECT 1::BIGINT AS page_id, count(*) AS n_pairs FROM (VALUES (1), (2))")
+def h21_footnote_pairs(spark, folder):
+    """References whose definition links back, in a small fixture."""
+    page = '<p>x<a href="#n1" id="r1">1</a> y<a href="#n2" id="r2">2</a> <a href="#top">t</a></p><ol id="top"><li id="n1">a <a href="#r1">b</a></li><li id="n2">c <a href="#r2">b</a></li></ol>'
+    nodes = html.dom_nodes(spark.createDataFrame([(1, page)], "page_id long, html string"), base=None)
+    return html.footnote_pairs(nodes).groupBy("page_id").agg(F.count_distinct("ref_id").alias("n_pairs"))
+
+
+@query("SELECT * FROM (VALUES (1, 'é'), (2, 'é'), (3, NULL)) AS t(id, text)")
+def s5_decoded(spark, folder):
+    """Bytes under their declared charsets."""
+    rows = spark.createDataFrame([(1, b"\xe9", "Latin1"), (2, b"\xc3\xa9", "utf-8"), (3, b"x", "unknown")], "id int, b binary, l string")
+    return rows.select("id", T.decoded("b", "l").alias("text"))
+
+
+@query("SELECT * FROM (VALUES ('Subtitle', 2), ('Title', 1), ('heading 4', 4), ('Body', 3), ('My Subheading', 3)) AS t(name, level)")
+def d4_heading_levels(spark, folder):
+    """Heading levels of style names."""
+    rows = spark.createDataFrame([("Subtitle", None), ("Title", None), ("heading 4", None), ("Body", 2), ("My Subheading", None)], "name string, outline int")
+    return rows.select("name", T.heading_level("name", F.col("outline")).alias("level"))
+
+
+@query("SELECT * FROM (VALUES ('Titel', 1), ('Überschrift 2', 2), ('Heading', 1), ('Text', NULL)) AS t(name, level)")
+def p17_legacy_headings(spark, folder):
+    """Heading levels of older style names."""
+    rows = spark.createDataFrame([("Titel",), ("Überschrift 2",), ("Heading",), ("Text",)], "name string")
+    return rows.select("name", T.legacy_heading("name").alias("level"))
+
+
+@query("SELECT * FROM (VALUES (1, 640, 480), (2, 30, 20), (3, NULL, NULL)) AS t(path, width, height)")
+def s28_image_sizes(spark, folder):
+    """Sizes from image headers."""
+    import struct
+
+    from docloom.sources.office import image_sizes
+
+    data = [(1, b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">II", 640, 480)), (2, b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08" + struct.pack(">HH", 20, 30) + bytes(9)), (3, b"none")]
+    return image_sizes(spark.createDataFrame(data, "path int, content binary")).select("path", "width", "height")
+
+
+@query("SELECT 1 AS path, 'Hi' AS subject, '<p>café!</p>' AS html")
+def s26_emails(spark, folder):
+    """HTML parts of e-mails."""
+    from docloom.sources.office import emails
+
+    raw = b'Subject: Hi\r\nMIME-Version: 1.0\r\nContent-Type: multipart/alternative; boundary="b"\r\n\r\n--b\r\nContent-Type: text/plain\r\n\r\nplain\r\n--b\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n<p>caf=C3=A9=\r\n!</p>\r\n--b--\r\n'
+    return emails(spark.createDataFrame([(1, raw)], "path int, content binary")).select("path", "subject", F.trim(F.regexp_replace("html", r"\s+$", "")).alias("html"))
