@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
@@ -43,7 +43,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, SLICE_BYTES // 4, 2 * self.n)
+            self.n = max(n, SLICE_BYTES + 64)
             with np.errstate(over="ignore"):
                 for name, base in (("up", self.base), ("down", self.inverse)):
                     steps = np.full(self.n, base, dtype=U64)
