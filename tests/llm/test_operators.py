@@ -187,6 +187,24 @@ def test_telling_terms(spark):
     assert all(by_id[100 + i]["spans"] == "" for i in range(200))
 
 
+def _marked(df):
+    """The texts of the term spans by doc_id."""
+    out = {}
+    for d, text, spans in [(r["doc_id"], r["text"], r["spans"]) for r in pii.digest(df).join(df, "doc_id").collect()]:
+        cut = [s.split(":") for s in spans.split(",") if s.startswith("term:")]
+        out[d] = [text[int(a) : int(b)] for _, a, b in cut]
+    return out
+
+
+def test_terms_that_tell_one_entity(spark):
+    plain = [(1000 + i, f"day {i} was plain and long and at the end of it came rain") for i in range(200)]
+    named = [(i, f"day {i} was long and Kowalczyk at one@mail.org the end") for i in range(8)]
+    copies = [(100 + i, "copied Zebrafish near other@mail.org and the end") for i in range(30)]
+    got = _marked(spark.createDataFrame(plain + named + copies, "doc_id long, text string"))
+    assert all(got[i] == ["Kowalczyk"] for i in range(8))
+    assert not any(got[i] for i in got if i >= 100)
+
+
 def test_line_dedup(docs, rows, empty):
     want = brute.boilerplate(rows, 0.1, 3)
     got = line_dedup.drop_lines(docs, ratio=0.1, min_pages=3).select("row.doc_id", "clean_text")
