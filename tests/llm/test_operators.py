@@ -205,6 +205,18 @@ def test_terms_that_tell_one_entity(spark):
     assert not any(got[i] for i in got if i >= 100)
 
 
+def test_telling_terms_far_from_entities(spark):
+    plain = [(1000 + i, f"day {i} was plain and long and at the end of it came rain") for i in range(200)]
+    named = [(i, f"day {i} was long and Kowalczyk at one@mail.org the end" + (" rain" * 20 + " Kowalczyk" if i == 0 else "")) for i in range(12)]
+    far = [(500, "KOWALCZYK was long at the end"), (501, "KOWALCZYK was long at the end"), (502, None)]
+    df = spark.createDataFrame(plain + named + far, "doc_id long, text string")
+    got = _marked(df)
+    assert got[0] == ["Kowalczyk", "Kowalczyk"] and got[1] == ["Kowalczyk"]
+    assert got[500] == got[501] == ["KOWALCZYK"] and got[502] == []
+    assert not any(got[i] for i in got if i >= 1000)
+    assert pii.sanitize(df).where("lower(text) like '%kowalczyk%'").count() == 0
+
+
 def test_line_dedup(docs, rows, empty):
     want = brute.boilerplate(rows, 0.1, 3)
     got = line_dedup.drop_lines(docs, ratio=0.1, min_pages=3).select("row.doc_id", "clean_text")
