@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -44,11 +45,12 @@ def inherited(styles: DataFrame, fields: list[str], *, doc: str = "doc_id", dept
     return out.drop("_next_id")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, *, doc: str = "doc_id", max_rounds: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     """(doc, id) of all that ``roots`` (doc, id) reach over ``edges`` (doc, src, dst), cycles included.
 
-    A frontier loop: each round joins only the newest ids and writes them to
-    the shared folder, so lineage stays short and a lost executor costs a re-read.
+    A frontier loop until no id is new, however long the chains: each round
+    joins only the newest ids and writes them to the shared folder, so lineage
+    stays short and a lost executor costs a re-read.
     """
     spark = edges.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -61,14 +63,13 @@ def reachable(edges: DataFrame, roots: DataFrame, *, doc: str = "doc_id", max_ro
     roots.select(doc, "id").distinct().write.parquet(f"{base}/round=0")
     schema = roots.select(doc, "id").schema
     frontier = spark.read.schema(schema).parquet(f"{base}/round=0")
-    for n in range(1, max_rounds + 1):
+    for n in itertools.count(1):
         known = spark.read.schema(schema).parquet(*[f"{base}/round={k}" for k in range(n)])
         fresh = edges.join(frontier, (edges[doc] == frontier[doc]) & (edges["src"] == frontier["id"])).select(edges[doc], F.col("dst").alias("id")).distinct().join(known, [doc, "id"], "left_anti")
         fresh.write.parquet(f"{base}/round={n}")
         frontier = spark.read.schema(schema).parquet(f"{base}/round={n}")
         if frontier.isEmpty():
             return known
-    return spark.read.schema(schema).parquet(*[f"{base}/round={k}" for k in range(max_rounds + 1)])
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: Column | str) -> DataFrame:

@@ -144,3 +144,9 @@ def test_docx_markdown(spark):
     text = "# T\n\nHello **b**[^1].\n\n- a\n- b\n\n1. x\n2. y\n\n[^1]: note text"
     files = to_docx(spark.createDataFrame([(7, text)], "doc_id long, text string")).select(F.col("doc_id").alias("path"), "content")
     assert docx_markdown(files).first()["text"] == "# T\n\nHello **b**[^1].\n\n- a\n- b\n1. x\n2. y\n\n[^1]: note text"
+
+
+def test_reachable_over_long_chains(spark):
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(66)] + [(1, 66, 60)], "doc_id int, src int, dst int")
+    got = joins.reachable(edges, spark.createDataFrame([(1, 0)], "doc_id int, id int"))
+    assert sorted(r["id"] for r in got.collect()) == list(range(67))
