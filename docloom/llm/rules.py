@@ -1,7 +1,7 @@
 """Quality rules with host verdicts, in DataFrame functions only.
 
 Documents fail base rules (too few words, too much repetition) or soft rules
-(symbols, duplicate lines, long words).  Failures are added up by host
+(symbols, duplicate lines).  Failures are added up by host
 (``source``), each host's failure rate is shrunk by a beta prior fitted to all
 hosts by moments, and a host whose shrunk rate is above ``HOST_RATE`` loses
 all its documents.
