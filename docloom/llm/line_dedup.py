@@ -50,7 +50,7 @@ def drop_lines(documents: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), rat
     """
     lists = written(boilerplate(documents, ratio=ratio, min_pages=min_pages).groupBy("host").agg(F.collect_list("line_md5").alias("bad")), "boilerplate")
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").cast("string").alias("text"), _host())
-    rows = rows.join(small(lists, 100_000), "host", "left")
+    rows = rows.join(small(lists), "host", "left")
     lines = _lines()
     kept = F.when(F.col("bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("bad", F.md5(x))))
     rows = rows.select("row", "text", kept.alias("kept"))

@@ -167,7 +167,7 @@ def mix(documents: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), shards: in
         lambda p: F.size(F.filter("ends", lambda e: e <= F.col("offset") + p * F.col("n") + F.col("at"))),
     )
     dealt = dealt.select("source_key", "block", "passes", "cut", "cut_words", (F.col("part") == F.col("words")).alias("all"), (F.col("part") > 0).alias("some"), place.alias("shards"))
-    dealt = small(written(dealt, "dealt"), 500_000)
+    dealt = small(written(dealt, "dealt"))
 
     joined = rows.join(sources.select("source_key", "source_size", "target", "n_blocks"), "source_key").withColumn("block", block).join(dealt, ["source_key", "block"])
     own = F.struct("key", "id", "size")

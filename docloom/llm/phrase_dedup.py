@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import kernels
-from docloom.llm.common import small, small_batches, written
+from docloom.llm.common import small, written
 
 WIDTH = 50
 PHRASE = 6
@@ -168,25 +168,24 @@ def dedup(documents: DataFrame, *, width: int = WIDTH, phrase: int = PHRASE) ->
     space.  A null text has no words.  A null id is never a smaller id and its
     row loses nothing; rows of one id do not remove each other's words.
     """
-    small_batches(documents.sparkSession)
     rows = written(sequences(documents, width=width, phrase=phrase), "sequences")
     light = rows.drop("phrases")
     copies = light.where(F.col("n_words") >= width).groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    copies = small(written(copies, "copies"), 500_000)
+    copies = small(written(copies, "copies"))
     own = rows.where(F.col("n_words") >= width).join(copies, ["fp_a", "fp_b"], "left").where("first is null or doc_id = first").select("doc_id", "fp_a", F.explode("phrases").alias("phrase"))
     recurring = own.groupBy("phrase").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("phrase")
-    recurring = small(written(recurring, "recurring"), 1_000_000)
+    recurring = small(written(recurring, "recurring"))
     marked = own.join(recurring, "phrase").groupBy("doc_id", "fp_a").agg(F.collect_set("phrase").alias("phrases"))
-    marked = small(written(marked, "marked"), 200_000)
+    marked = small(written(marked, "marked"))
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     runs = written(occurrences(texts.join(marked, "doc_id"), width=width, phrase=phrase), "runs")
     each = runs.select("doc_id", "fp_a", F.explode(F.arrays_zip("starts", "hashes")).alias("x")).select("doc_id", "fp_a", F.col("x.starts").alias("start"), F.col("x.hashes").alias("hash"))
     owners = each.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("hash", "owner")
     lost = each.join(owners, "hash").where("doc_id > owner").groupBy("doc_id", "fp_a").agg(F.collect_set("start").alias("starts"))
-    lost = small(written(lost, "lost"), 200_000)
+    lost = small(written(lost, "lost"))
     cut = written(_cut(texts.join(lost, "doc_id"), width), "cut")
     part = cut.select("doc_id", "fp_a", "n_removed", F.sha2(F.col("kept_text"), 256).alias("part_sha256")).dropDuplicates(["doc_id", "fp_a"])
-    joined = light.join(copies, ["fp_a", "fp_b"], "left").join(small(written(part, "part"), 500_000), ["doc_id", "fp_a"], "left")
+    joined = light.join(copies, ["fp_a", "fp_b"], "left").join(small(written(part, "part")), ["doc_id", "fp_a"], "left")
     copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= width), F.lit(False))
     everything = joined.select(
         "doc_id",

@@ -106,7 +106,7 @@ def judge(documents: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) ->
     """The rows of ``base`` with ``host_rate`` and ``kept``, for every row."""
     rows = base(documents, keep)
     light = written(rows.drop("row") if "text" in keep else rows, "rules")
-    verdicts = small(written(hosts(light), "hosts").select(F.col("host").alias("verdict_host"), "rate", "host_kept"), 200_000)
+    verdicts = small(written(hosts(light), "hosts").select(F.col("host").alias("verdict_host"), "rate", "host_kept"))
     rows = rows if "text" in keep else light
     joined = rows.join(verdicts, F.col("host").eqNullSafe(F.col("verdict_host")), "left")
     return joined.select(*rows.columns, F.col("rate").alias("host_rate"), (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"))

@@ -54,8 +54,8 @@ def shingles(text, k=5):
 
 
 def components(rows):
-    """doc_id -> (set size, smallest linked id), rows with ids only."""
-    sets = [(d, shingles(t)) for d, t, *_ in rows if d is not None]
+    """doc_id -> smallest id that links reach; texts of null ids link too, and texts of one id are one document."""
+    sets = [(("id", d) if d is not None else ("row", i), shingles(t)) for i, (d, t, *_) in enumerate(rows)]
     root = {d: d for d, _ in sets}
 
     def find(x):
@@ -68,7 +68,28 @@ def components(rows):
             if x and y and 100 * len(x & y) >= 75 * len(x | y):
                 u, v = find(a), find(b)
                 root[max(u, v)] = min(u, v)
-    return {d: (len(s), find(d)) for d, s in sets}
+    return {d: find(("id", d))[1] for kind, d in root if kind == "id"}
+
+
+def groups(rows):
+    """Indexes of linked rows, set by set; rows without a word are alone."""
+    sets = [shingles(t) for _, t, *_ in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                u, v = find(i), find(j)
+                root[max(u, v)] = min(u, v)
+    out = defaultdict(list)
+    for i in range(len(rows)):
+        out[find(i)].append(i)
+    return list(out.values())
 
 
 def rules(text):

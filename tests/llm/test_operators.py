@@ -109,14 +109,51 @@ def test_quality(spark, docs, empty):
     assert quality_knn.classify(empty, labels).count() == 0
 
 
-@pytest.mark.parametrize("hot", [48, 3])
-def test_jaccard(docs, rows, empty, monkeypatch, hot):
+def _one_each(rows):
+    """(id, text) of the row that stays of each group."""
+    out = []
+    for g in brute.groups(rows):
+        out += [rows[i][:2] for i in g] if not brute.shingles(rows[g[0]][1]) else []
+        if brute.shingles(rows[g[0]][1]):
+            least = min((rows[i][0] is None, rows[i][0] or 0) for i in g)
+            out.append({rows[i][:2] for i in g if (rows[i][0] is None, rows[i][0] or 0) == least})
+    return out
+
+
+def _same_representatives(got, rows):
+    """Each group leaves one of its candidates, and no other row stays."""
+    want = _one_each(rows)
+    plain = Counter(x for x in want if isinstance(x, tuple))
+    left = Counter(tuple(r[c] for c in ("doc_id", "text")) for r in got)
+    assert sum(left.values()) == len(want)
+    left -= plain
+    for candidates in (x for x in want if isinstance(x, set)):
+        match = [c for c in candidates if left[c]]
+        assert len(match) == 1
+        left[match[0]] -= 1
+
+
+@pytest.mark.parametrize(("hot", "block"), [(48, 768), (3, 768), (3, 2)])
+def test_jaccard(docs, rows, empty, monkeypatch, hot, block):
     monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "ROWS", block)
     want = brute.components(rows)
-    same(jaccard.link(docs).where("doc_id is not null"), ("doc_id", "n_shingles", "component_id"), [(r[0], *want[r[0]]) for r in rows if r[0] is not None])
+    same(jaccard.link(docs).where("doc_id is not null"), ("doc_id", "n_shingles", "component_id"), [(r[0], len(brute.shingles(r[1])), want[r[0]]) for r in rows if r[0] is not None])
     assert jaccard.link(empty).count() == 0
-    kept = {r["doc_id"] for r in jaccard.representatives(docs).collect()}
-    assert kept - {None} == {d for d, (_, root) in want.items() if d == root}
+    _same_representatives(jaccard.representatives(docs).collect(), rows)
+
+
+def test_jaccard_rows_that_share_an_id(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abcde"}
+    plain = [(3, text["b"]), (5, text["b"]), (5, text["a"]), (7, text["a"]), (7, text["a"]), (None, text["c"]), (None, text["c"]), (9, text["c"]), (None, text["d"]), (None, text["d"]), (9, None), (4, ""), (4, text["e"]), (3, text["e"])]
+    df = spark.createDataFrame(plain, "doc_id long, text string")
+    got = Counter((r[0], r[1], r[2]) for r in jaccard.link(df).collect())
+    want = brute.components(plain)
+    assert {k: v for k, v in got.items() if k[0] is not None} == Counter((d, len(brute.shingles(t)), want[d]) for d, t in plain if d is not None)
+    assert got[(None, 26, None)] == 2 and got[(None, 26, 9)] == 2
+    left = jaccard.representatives(df).collect()
+    _same_representatives(left, plain)
+    assert {(3, text["b"]), (5, text["a"])} <= {(r[0], r[1]) for r in left}
 
 
 def test_jaccard_chain_of_near_copies(spark):
@@ -261,8 +298,7 @@ def test_pipeline_against_brute_force(spark, docs, rows, benchmark, tmp_path, mo
     left = [r for r in rows if not brute.rules(r[1])[-1]]
     texts = brute.boilerplate(left, line_dedup.RATIO, line_dedup.MIN_PAGES)
     left = [(r[0], t, r[2], r[3], len(t)) for r, t in zip(left, texts, strict=True)]
-    roots = brute.components(left)
-    left = [r for r in left if r[0] is None or roots[r[0]][1] == r[0]]
+    left = [left[min(g, key=lambda i: (left[i][0] is None, left[i][0] or 0))] for g in brute.groups(left)]
     left = [r for r in left if not brute.decontaminated(r[1], plain)[-1]]
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     by_id = defaultdict(int)
