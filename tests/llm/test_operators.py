@@ -1,5 +1,8 @@
+import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -58,12 +61,47 @@ def test_language(spark, docs, empty):
     assert lang_id.identify(empty).count() == 0
 
 
-def test_language_counts_do_not_depend_on_chunks(monkeypatch):
-    text = "Éla b’c d ef 12 ghi\n" * 50
-    whole = lang_id.ngram_counts(text)
-    monkeypatch.setattr(lang_id, "CHUNK", 64)
-    parts = lang_id.ngram_counts(text)
-    assert abs(int(whole.sum()) - int(parts.sum())) < 0.25 * whole.sum()
+@pytest.mark.parametrize("text", ["Éla b’c d ef 12 ghi\n" * 50, "  a" * 100, "", "x", "   ", "ab" * 64, " " * 64 + "ab " + " " * 63])
+def test_language_counts_do_not_depend_on_chunks(monkeypatch, text):
+    row, bucket, n, _ = lang_id._short_counts([text], 4096)
+    whole = np.bincount(bucket, weights=n, minlength=4096)
+    for chunk in (1, 2, 3, 64):
+        monkeypatch.setattr(lang_id, "CHUNK", chunk)
+        assert (lang_id._long_counts(text, 4096) == whole).all()
+
+
+def test_language_against_brute_force(docs, rows, monkeypatch):
+    """Naive Bayes of the n-gram strings themselves, in buckets; blocks of one or two languages give the same."""
+    def counts(text):
+        c = "".join(x.lower() if x.isalpha() and len(x.lower()) == 1 else x if x.isalpha() else " " for x in text or "")
+        c = re.sub(" +", " ", f" {c} ")
+        grams = [[ord(x) for x in c[i - k : i]] for i in range(1, len(c) + 1) for k in (1, 2, 3) if i >= k]
+        out = Counter()
+        for g in grams:
+            codes = np.array(g, dtype=np.uint32)
+            r, h = lang_id._grams(codes, np.zeros(len(g), np.int64), lang_id.BUCKETS, np.arange(len(g)) < len(g) - 1)
+            out[int(h[len(g) - 1])] += 1
+        return out if c.strip() else None
+
+    data = [r for r in rows if len(r[1] or "") < 2000]
+    sums, n_docs = defaultdict(Counter), Counter()
+    for d, t, lang, *_ in data:
+        if d is not None and lang is not None and zlib.crc32(str(d).encode()) % 4 != 2 and (c := counts(t)):
+            sums[lang].update(c)
+            n_docs[lang] += 1
+    want = []
+    for d, t, *_ in data:
+        c, best = counts(t), {}
+        for lang in sorted(sums):
+            total = sum(sums[lang].values()) + lang_id.BUCKETS
+            best[lang] = np.log(n_docs[lang] / sum(n_docs.values())) + sum(n * np.log((sums[lang][b] + 1) / total) for b, n in (c or {}).items())
+        top = max(best, key=best.get)
+        want.append((d, d is not None and zlib.crc32(str(d).encode()) % 4 == 2, top if c else "und", round(1 / sum(np.exp(v - best[top]) for v in best.values()), 6) if c else 0.0))
+    small = docs.where("text is null or length(text) < 2000")
+    for block in (256, 1):
+        monkeypatch.setattr(lang_id, "LANGS", block)
+        got = Counter((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 6)) for r in lang_id.identify(small).collect())
+        assert got == Counter(want)
 
 
 def test_mixing(docs, rows, empty):
