@@ -3,13 +3,17 @@
 Each source gets a share of all words by weight, at most ``MAX_EPOCHS`` times
 its own; the excess is shared anew by weight.  A source's documents are dealt
 to blocks by hash; whole passes take all blocks, the last pass takes blocks in
-permuted order up to the word that meets the target.  The exact numbers of
-blocks a source gives are split among the output shards by a tree of
-multivariate-hypergeometric draws, each shard then takes its next blocks of
-the source's permutation, and its documents are ordered by a local hash.
+permuted order up to the word that meets the target.  The exact number of
+blocks that each source gives is split among the output shards by a tree of
+multivariate-hypergeometric draws: first pools of sources, then the sources of
+each pool within what the pool gives a shard, so the quotas are exact for any
+number of sources.  Each shard takes its next blocks of the source's
+permutation, and ``places`` orders its documents by a local shuffle.
 
 All state besides the documents is one row a source or block (at most
-``MAX_BLOCKS`` blocks a source), so a hot source is many small groups.
+``MAX_BLOCKS`` blocks a source; larger sources have larger blocks, and one
+block of each is ordered to find the cut), so a hot source is many small
+groups.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from docloom.llm.common import n_words, small, written
 BLOCK_WORDS = 1 << 14
 MAX_BLOCKS = 1 << 16
 MAX_EPOCHS = 3
-MAX_STRATA = 1024
+#: Sources of a pool and pools of the first tree, for up to the square of it in arrays of this length.
+POOLS = 1024
 SHARDS = 16
 SEED = "docloom"
 
@@ -80,22 +85,28 @@ def _hypergeometric(whole: Column, marked: Column, drawn: Column, u: Column) ->
     return F.least(low + run(u * weight, lambda acc: acc["pick"]), high)
 
 
+def even_rooms(counts: Column, shards: int) -> Column:
+    """Blocks that each shard gets if all get alike, as an array by shard."""
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.floor(total * (i + 1) / shards).cast("long") - F.floor(total * i / shards).cast("long"))
+
+
 def splitting_tree(counts: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(shard, stratum, quota) from one row (counts array<long>, by stratum).
+    """(pool, shard, stratum, quota) from rows (pool, counts array<long> by stratum, rooms array<long> by shard).
 
-    Each node halves its shards; the left half gets its exact share of blocks,
-    drawn stratum after stratum without replacement.
+    Each node halves its shards; the left half gets the blocks that its shards
+    have room for, drawn stratum after stratum without replacement.
     """
-    tree = counts.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "counts")
+    tree = counts.select("pool", F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "counts", "rooms")
     depth = max(shards - 1, 0).bit_length()
     for _ in range(depth):
         total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
         mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        node = tree.select("lo", "hi", "counts", total.alias("total"), mid.alias("mid"))
-        room = F.floor(F.col("total") * (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("long")
+        node = tree.select("pool", "lo", "hi", "counts", "rooms", total.alias("total"), mid.alias("mid"))
+        room = F.aggregate(F.slice("rooms", F.col("lo") + 1, F.col("mid") - F.col("lo")), F.lit(0).cast("long"), lambda a, x: a + x)
 
         def draw(acc: Column, item: Column) -> Column:
-            u = _hash("split", F.col("lo"), F.col("hi"), item["i"]) / F.lit(float(1 << 60))
+            u = _hash("split", F.col("pool"), F.col("lo"), F.col("hi"), item["i"]) / F.lit(float(1 << 60))
             x = _hypergeometric(acc["whole"], item["k"], acc["room"], u)
             return F.transform(F.array(x), lambda x: F.struct((acc["whole"] - item["k"]).alias("whole"), (acc["room"] - x).alias("room"), F.concat(acc["left"], F.array(x)).alias("left")))[0]
 
@@ -105,21 +116,45 @@ def splitting_tree(counts: DataFrame, shards: int = SHARDS) -> DataFrame:
             draw,
             lambda acc: acc["left"],
         )
-        node = node.select("lo", "mid", "hi", "counts", left.alias("left"))
+        node = node.select("pool", "lo", "mid", "hi", "counts", "rooms", left.alias("left"))
         halves = F.array(
             F.struct(F.col("lo").alias("lo"), F.col("mid").alias("hi"), F.col("left").alias("counts")),
             F.struct(F.col("mid").alias("lo"), F.col("hi").alias("hi"), F.zip_with("counts", "left", lambda k, x: k - x).alias("counts")),
         )
         single = F.array(F.struct("lo", "hi", "counts"))
-        tree = node.select(F.explode(F.when(F.col("hi") - F.col("lo") > 1, halves).otherwise(single)).alias("n")).select("n.*")
-    return tree.select(F.col("lo").alias("shard"), F.posexplode("counts").alias("stratum", "quota"))
+        tree = node.select("pool", "rooms", F.explode(F.when(F.col("hi") - F.col("lo") > 1, halves).otherwise(single)).alias("n")).select("pool", "rooms", "n.*")
+    return tree.select("pool", F.col("lo").alias("shard"), F.posexplode("counts").alias("stratum", "quota"))
+
+
+def quotas(per: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """(rank, ends): for each source (rank, k) the running numbers of its blocks that shards 0, 1, ... take."""
+    placed = per.select((F.col("rank") % POOLS).cast("int").alias("pool"), F.floor(F.col("rank") / POOLS).cast("int").alias("stratum"), "k")
+    in_order = lambda name: F.transform(F.array_sort(F.collect_list(F.struct(name, "k"))), lambda x: x["k"])
+    pools = placed.groupBy("pool").agg(F.sum("k").alias("k")).agg(in_order("pool").alias("counts")).where(F.size("counts") > 0)
+    top = written(splitting_tree(pools.select(F.lit(-1).alias("pool"), "counts", even_rooms(F.col("counts"), shards).alias("rooms")), shards), "pool-quotas")
+    rooms = top.groupBy(F.col("stratum").alias("pool")).agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "quota"))), lambda x: x["quota"]).alias("rooms"))
+    strata = placed.groupBy("pool").agg(in_order("stratum").alias("counts")).join(rooms, "pool")
+    # the array of a pool is by stratum, its strata are consecutive ranks
+    leaves = splitting_tree(strata, shards).select((F.col("stratum").cast("long") * POOLS + F.col("pool")).alias("rank"), "shard", "quota")
+    ends = leaves.withColumn("end", F.sum("quota").over(Window.partitionBy("rank").orderBy("shard")))
+    return ends.groupBy("rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"]).alias("ends"))
+
+
+def ranked(by_source: DataFrame) -> DataFrame:
+    """Adds ``rank``, from 0 in code point order of source_key, without gathering the sources in one task."""
+    ranges = written(by_source.repartitionByRange("source_key").select("*", F.spark_partition_id().alias("range")), "ranges")
+    before = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = before.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("source_key")) - 1
+    return ranges.withColumn("place", place).join(F.broadcast(before), "range").select(*by_source.columns, (F.col("before") + F.col("place")).alias("rank"))
 
 
 def mix(documents: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), shards: int = SHARDS) -> DataFrame:
-    """(row, size, source_size, target, taken, shards) for every row; ``row`` is a struct of the columns ``keep``.
+    """(row, size, source_size, target, taken, shards, places) for every row; ``row`` is a struct of the columns ``keep``.
 
     ``shards`` lists the output shard of each pass that takes the document
-    (the last one may take only its first words).  A null text has size 0 and
+    (the last one may take only its first words), ``places`` its place in the
+    local shuffle of each of them.  A null text has size 0 and
     gives no words; a null source comes last and is a source; repeated rows
     are dealt alike, and at a cut inside equal rows each gives an equal part.
     """
@@ -127,8 +162,7 @@ def mix(documents: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), shards: in
     light = written(_rows(documents, ()).drop("row"), "sizes")
     by_source = light.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     # one row a source; "=" sorts before "null", so null comes last
-    rank = F.row_number().over(Window.orderBy("source_key")) - 1
-    sources = written(by_source.withColumn("rank", rank).withColumn("weight", F.col("rank") % 3 + 1), "sources")
+    sources = written(ranked(by_source).withColumn("weight", F.col("rank") % 3 + 1), "sources")
     sources = _targets(sources)
     quota = F.floor(F.col("target") + 0.5).cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(quota / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
@@ -148,23 +182,19 @@ def mix(documents: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), shards: in
     blocks = written(blocks.select("source_key", "block", "rank", "words", "part", "passes", "at", "n", draws.alias("draws")), "blocks")
 
     # the one block of a source that is taken in part: its documents in key order up to the cut
-    split = small(blocks.where("part > 0 and part < words").select("source_key", "block", "part"))
+    split = small(written(blocks.where("part > 0 and part < words").select("source_key", "block", "part"), "split"))
     inside = placed.join(split, ["source_key", "block"]).groupBy("source_key", "block", "part", "key", "id", "size").agg(F.count(F.lit(1)).alias("equal"))
     along = Window.partitionBy("source_key", "block").orderBy("key", F.col("id").asc_nulls_first(), "size")
     inside = inside.withColumn("end", F.sum(F.col("size") * F.col("equal")).over(along)).withColumn("begin", F.col("end") - F.col("size") * F.col("equal"))
     cuts = inside.where("begin < part and part <= end").select("source_key", "block", F.struct("key", "id", "size").alias("cut"), F.floor((F.col("part") - F.col("begin")) / F.col("equal")).cast("long").alias("cut_words"))
 
     # shards: exact quotas by the tree, then consecutive draws of each source's permutation
-    per = blocks.groupBy("source_key", "rank").agg(F.sum("draws").alias("k")).withColumn("stratum", (F.col("rank") % MAX_STRATA).cast("int"))
-    per = per.withColumn("offset", F.sum("k").over(Window.partitionBy("stratum").orderBy("rank")) - F.col("k"))
-    strata = per.groupBy("stratum").agg(F.sum("k").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("stratum", "k"))), lambda x: x["k"]).alias("counts"))
-    leaves = splitting_tree(strata, shards).withColumn("end", F.sum("quota").over(Window.partitionBy("stratum").orderBy("shard")))
-    ends = leaves.groupBy("stratum").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"]).alias("ends"))
-    where = per.join(ends, "stratum").select("source_key", "offset", "ends")
-    dealt = blocks.join(F.broadcast(where) if isinstance(where, DataFrame) else where, "source_key").join(cuts, ["source_key", "block"], "left")
+    per = written(blocks.groupBy("source_key", "rank").agg(F.sum("draws").alias("k")), "draws")
+    ends = small(written(per.join(quotas(per, shards), "rank").select("source_key", "ends"), "ends"))
+    dealt = blocks.join(ends, "source_key").join(cuts, ["source_key", "block"], "left")
     place = F.transform(
         F.when(F.col("draws") > 0, F.sequence(F.lit(0).cast("long"), F.col("draws") - 1)).otherwise(F.expr("cast(array() as array<bigint>)")),
-        lambda p: F.size(F.filter("ends", lambda e: e <= F.col("offset") + p * F.col("n") + F.col("at"))),
+        lambda p: F.size(F.filter("ends", lambda e: e <= p * F.col("n") + F.col("at"))),
     )
     dealt = dealt.select("source_key", "block", "passes", "cut", "cut_words", (F.col("part") == F.col("words")).alias("all"), (F.col("part") > 0).alias("some"), place.alias("shards"))
     dealt = small(written(dealt, "dealt"))
@@ -174,21 +204,24 @@ def mix(documents: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), shards: in
     last = F.when(~F.col("some"), 0).when(F.col("all"), F.col("size")).when(own < F.col("cut"), F.col("size")).when(own == F.col("cut"), F.col("cut_words")).otherwise(0)
     extra = last.cast("long")
     taken = F.col("passes") * F.col("size") + extra
-    mine = F.slice("shards", 1, (F.col("passes") + F.when(extra > 0, 1).otherwise(0)).cast("int"))
-    return joined.select("row", "size", "source_size", "target", taken.alias("taken"), F.when(F.col("size") > 0, mine).otherwise(F.slice("shards", 1, 0)).alias("shards"))
+    mine = F.slice("shards", 1, F.when(F.col("size") > 0, F.col("passes") + F.when(extra > 0, 1).otherwise(0)).otherwise(0).cast("int"))
+    joined = joined.select("row", "id", "size", "source_size", "target", taken.alias("taken"), mine.alias("shards"))
+    places = F.transform("shards", lambda shard, turn: _hash("local", shard, turn, F.col("id")))
+    return joined.select("row", "size", "source_size", "target", "taken", "shards", places.alias("places"))
 
 
 def digest(documents: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, shards) for every row."""
-    return mix(documents).select("row.doc_id", "size", "source_size", "target", "taken", "shards")
+    """(doc_id, size, source_size, target, taken, shards, places) for every row."""
+    return mix(documents).select("row.doc_id", "size", "source_size", "target", "taken", "shards", "places")
 
 
 def draws(mixed: DataFrame) -> DataFrame:
-    """One row for each time a document is drawn, in its shard and in the shard's local shuffle.
+    """One row for each time a document is drawn, by shard and in the order of the shard's local shuffle.
 
     Takes the rows of ``mix``; the words of the last draw are what is left.
+    Shards are ranges of the result, so a large one is several tasks.
     """
-    pieces = mixed.select("row", "size", "taken", F.posexplode("shards").alias("turn", "shard"))
+    pieces = mixed.select("row", "size", "taken", F.posexplode(F.arrays_zip("shards", "places")).alias("turn", "draw"))
     words = F.least(F.col("size"), F.col("taken") - F.col("turn") * F.col("size"))
-    pieces = pieces.select("shard", _hash("local", F.col("shard"), F.col("turn"), F.col("row.doc_id")).alias("place"), "turn", words.alias("words"), "row")
-    return pieces.repartition("shard").sortWithinPartitions("shard", "place")
+    pieces = pieces.select(F.col("draw.shards").alias("shard"), F.col("draw.places").alias("place"), "turn", words.alias("words"), "row")
+    return pieces.repartitionByRange("shard", "place", "turn").sortWithinPartitions("shard", "place", "turn")

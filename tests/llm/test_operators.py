@@ -1,3 +1,4 @@
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -123,19 +124,82 @@ def test_mixing(docs, rows, empty):
     assert sum(r["words"] for r in mixing.draws(mixing.mix(docs)).collect()) == sum(taken.values())
 
 
+def _md5(*parts):
+    return int(hashlib.md5("|".join(["docloom", *[str(p) if p is not None else "null" for p in parts]]).encode()).hexdigest()[:15], 16)
+
+
+@pytest.mark.parametrize("pools", [1024, 2])
+def test_shards_against_brute_force(spark, docs, rows, monkeypatch, pools):
+    """Blocks, permutations and the dealing to shards recomputed row by row; the quotas are those of the tree."""
+    monkeypatch.setattr(mixing, "POOLS", pools)
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 300)
+    size = lambda t: len(brute.WORD.findall(t or ""))
+    by_source = defaultdict(list)
+    for d, t, _, s, *_ in rows:
+        by_source[s].append((d, size(t)))
+    want = brute.targets({s: sum(n for _, n in x) for s, x in by_source.items()})
+    names = sorted((s for s in by_source if s is not None)) + [None]
+    plan, k = {}, []
+    for rank, s in enumerate(names):
+        total = sum(n for _, n in by_source[s])
+        passes, rest = divmod(int(want[s] + 0.5), total)
+        n = max(1, -(-total // 300))
+        key = "null" if s is None else "=" + s
+        words = Counter()
+        for d, z in by_source[s]:
+            words[_md5("doc", d) % n] += z
+        held = {_md5("doc", d) % n for d, _ in by_source[s]}
+        order = sorted(held, key=lambda b: (_md5("block", key, b), b))
+        before, draws = 0, {}
+        for at, b in enumerate(order):
+            draws[b] = (at, passes + (max(0, min(words[b], rest - before)) > 0))
+            before += words[b]
+        plan[s] = (n, len(order), draws)
+        k.append((rank, sum(x for _, x in draws.values())))
+    ends = {r["rank"]: r["ends"] for r in mixing.quotas(spark.createDataFrame(k, "rank long, k long")).collect()}
+    assert all(ends[rank][-1] == x and len(ends[rank]) == mixing.SHARDS for rank, x in k)
+    per_shard = [sum((e[i] - (e[i - 1] if i else 0)) for e in ends.values()) for i in range(mixing.SHARDS)]
+    assert max(per_shard) - min(per_shard) <= 1
+    taken = Counter()
+    got = mixing.digest(docs).collect()
+    source = {r[0]: r[3] for r in rows}
+    for r in got:
+        s = source[r["doc_id"]]
+        n, blocks, draws = plan[s]
+        at, many = draws[_md5("doc", r["doc_id"]) % n]
+        shards = [sum(e <= p * blocks + at for e in ends[names.index(s)]) for p in range(many)]
+        assert r["shards"] == shards[: len(r["shards"])] and len(r["shards"]) >= (many - 1 if r["size"] else 0)
+        assert r["places"] == [_md5("local", x, i, r["doc_id"]) for i, x in enumerate(r["shards"])]
+        taken[s] += r["taken"]
+    drawn = mixing.draws(mixing.mix(docs)).select("shard", "place", "words").collect()
+    assert len(drawn) == sum(len(r["shards"]) for r in got)
+    assert [r[:2] for r in drawn] == sorted(r[:2] for r in drawn)
+
+
 def test_splitting_tree_keeps_quotas(spark):
     counts = [1000, 1, 0, 333, 5]
-    leaves = mixing.splitting_tree(spark.createDataFrame([(counts,)], "counts array<long>"), 7).collect()
+    df = spark.createDataFrame([(0, counts)], "pool int, counts array<long>").withColumn("rooms", mixing.even_rooms(F.col("counts"), 7))
+    leaves = mixing.splitting_tree(df, 7).collect()
     by_stratum, by_shard = Counter(), Counter()
     for r in leaves:
         assert r["quota"] >= 0
         by_stratum[r["stratum"]] += r["quota"]
         by_shard[r["shard"]] += r["quota"]
     assert [by_stratum[i] for i in range(5)] == counts
-    assert max(by_shard.values()) - min(by_shard.values()) <= 3
+    assert max(by_shard.values()) - min(by_shard.values()) <= 1
     assert all(abs(r["quota"] - 1000 / 7) < 60 for r in leaves if r["stratum"] == 0)
 
 
+def test_mixing_many_sources(spark):
+    n = 3000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.concat(F.lit("host"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("source"))
+    want = brute.targets({f"host{i:05}": 4 for i in range(n)})
+    got = mixing.digest(df).collect()
+    assert len(got) == n and all(r["target"] == pytest.approx(want[f"host{r['doc_id']:05}"]) and abs(r["taken"] - r["target"]) <= 1 for r in got)
+    by_shard = Counter(x for r in got for x in r["shards"])
+    assert max(by_shard.values()) - min(by_shard.values()) <= 1
+
+
 def test_quality(spark, docs, empty):
     good, bad = "Some plain words stand here in order, and they end", "some*** plain$$$ words%%% stand### here&&& in*** order"
     data = [(i, (bad if i % 3 == 0 else good) + f" {i}") for i in range(120)] + [(200, None), (201, ""), (202, good * 20_000), (None, good)]
