@@ -206,11 +206,65 @@ def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(120)] + [(None, 1, 0), (5, None, 0), (999, 0, 0)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in quality_knn.classify(spark.createDataFrame(data, "doc_id long, text string"), labels).collect()}
     assert len(got) == len(data) and all(0 <= r["score"] <= 1 for r in got.values())
-    assert all(got[i]["predicted"] == int(i % 3 > 0) for i in range(120)) and got[202]["predicted"] == 1
+    assert all(got[i]["predicted"] == int(i % 3 > 0) for i in range(120)) and got[202]["predicted"] == 1 and got[200]["score"] == got[201]["score"] == 0
     assert quality_knn.classify(docs, labels.limit(0)).where("score = 0.5").count() == docs.count()
     assert quality_knn.classify(empty, labels).count() == 0
 
 
+def test_quality_against_brute_force(spark, docs, rows):
+    """Term counts word by word, a full SVD, all cosines and votes in plain loops."""
+    import pyarrow as pa
+
+    def hashed(words):
+        return next(kernels.words(pa.array([" ".join(words)]))).hash if words else np.zeros(0, np.uint64)
+
+    def counts(text):
+        words = brute.WORD.findall(text or "")
+        h, out = hashed(words), Counter()
+        shift = 64 - (quality_knn.BUCKETS.bit_length() - 1)
+        put = lambda x: out.update([int(kernels.mix(np.array([x], np.uint64))[0]) >> shift])
+        for i, w in enumerate(words):
+            put(h[i])
+            if i:
+                put(kernels.windows(h[i - 1 : i + 1], 2)[0])
+            ending = 0
+            for k in range(1, 4):
+                raw = w.encode()
+                ending = (ending * 257 + (raw[-k] if k <= len(raw) else 0)) % (1 << 64)
+            put(kernels.mix(np.array([ending ^ 0xE7D1], np.uint64))[0])
+            for k in (1, 2, 3):
+                if i >= k and words[i - k] == w:
+                    put(kernels.mix(np.array([0xB0B0 + k], np.uint64))[0])
+        return out
+
+    data = [r for r in rows if r[0] is not None]
+    labels = [(r[0], int(len(r[1] or "") % 3 > 0)) for r in data if r[0] % 2 == 0]
+    held = {r[0] for r in data if zlib.crc32(str(r[0]).encode()) % 5 == 0}
+    bank = [(counts(t), float(dict(labels)[d])) for d, t, *_ in data if d in dict(labels) and d not in held and brute.WORD.search(t or "")]
+    n = len(bank)
+    idf = {b: np.log((1 + n) / (1 + sum(b in c for c, _ in bank))) + 1 for b in range(quality_knn.BUCKETS)}
+
+    def vector(c):
+        x = np.zeros(quality_knn.BUCKETS)
+        for b, k in c.items():
+            x[b] = np.log1p(k) * idf[b]
+        return x
+
+    matrix = np.array([vector(c) / np.linalg.norm(vector(c)) for c, _ in bank])
+    axes = np.linalg.svd(matrix, full_matrices=False)[2][: quality_knn.RANK].T
+    unit = lambda x: x / max(np.linalg.norm(x), 1e-12)
+    latent = np.array([unit(vector(c) @ axes) for c, _ in bank])
+    want = {}
+    for d, t, *_ in data:
+        c = counts(t)
+        near = sorted(((float(unit(vector(c) @ axes) @ z), y) for z, (_, y) in zip(latent, bank, strict=True)), reverse=True)
+        near = [(max(a, 1e-6), y) for a, y in near if a >= near[quality_knn.NEIGHBOURS - 1][0] - 1e-6]
+        want.setdefault((d, t), sum(a * y for a, y in near) / sum(a for a, _ in near) if c else 0.0)
+    got = quality_knn.classify(docs.where("doc_id is not null"), spark.createDataFrame(labels, "doc_id long, quality int")).join(docs.select("doc_id", "text").distinct(), "doc_id").collect()
+    assert len(got) == len(data)
+    assert all(r["held_out"] == (r["doc_id"] in held) and r["score"] == pytest.approx(want[r["doc_id"], r["text"]], abs=2e-3) for r in got)
+
+
 def _one_each(rows):
     """(id, text) of the row that stays of each group."""
     out = []
