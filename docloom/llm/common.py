@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table is broadcast only if its measured size in memory stays below this.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 #: Rows of an Arrow batch that carries whole texts.
 TEXT_ROWS = 2000
 
@@ -99,7 +99,11 @@ def bytes_in_memory(df: DataFrame) -> int:
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Mark a written table for broadcast if its measured bytes stay below ``limit``; else leave the join to the planner."""
-    return F.broadcast(df) if bytes_in_memory(df) <= limit else df
+    if bytes_in_memory(df) > limit:
+        return df
+    out = F.broadcast(df)
+    out._docloom_path = getattr(df, "_docloom_path", None)
+    return out
 
 
 def fold(doc_id: str | Column, parts: int) -> Column:

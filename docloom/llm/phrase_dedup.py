@@ -1,18 +1,25 @@
 """Substring deduplication with repeated-phrase automata.
 
-1. Each document's word sequence is sampled by minimizers: of every run of
-   ``WIDTH`` words the phrase of ``PHRASE`` words with the smallest hash.  Equal
-   runs pick the same phrase, so a run that recurs in another document has a
-   recurring phrase; phrases found in two documents are confirmed as such.
-2. Documents with recurring phrases are streamed through Aho-Corasick automata
-   over word numbers.  The automata are sharded with the documents: each batch
-   compiles the recurring phrases that its own documents are known to hold, so
-   no automaton grows with the corpus and none is sent to all executors.
-3. The runs around the located phrases are compared across documents by their
+1. Confirm: each document's word sequence is sampled by minimizers: of every
+   run of ``WIDTH`` words the phrase of ``PHRASE`` words with the smallest
+   hash.  Equal runs pick the same phrase, so a run that recurs in another
+   document has a phrase that recurs; phrases of two documents or more are
+   confirmed.
+2. Compile: the corpus's confirmed phrases are dealt to shards of about
+   ``SHARD_PHRASES``, all phrases that one document was the first to hold to
+   the same shard, and each shard is an Aho-Corasick automaton.
+3. Stream: every document that holds a confirmed phrase runs through the
+   automaton of each shard that has one, with all of the shard's phrases, in
+   chunks of about ``CHUNK_WORDS`` words, so that a passage of very many
+   documents is many tasks.  A document without a confirmed phrase cannot
+   share a run with another one and need not be streamed.
+4. The runs around the located phrases are compared across documents by their
    64-bit hashes; every word of a run that also starts in a document with a
    smaller id is removed.
 
 Exact copies of a word sequence are settled by their fingerprint before that.
+Neither automata nor the tables behind them grow with the corpus: their number
+does, and each document meets only the shards of its own phrases.
 """
 
 from __future__ import annotations
@@ -26,12 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import kernels
-from docloom.llm.common import small, written
+from docloom.llm.common import forget, kind_of, small, text_key, text_of, written
 
 WIDTH = 50
 PHRASE = 6
-SHARD_DOCS = 512
+SHARD_PHRASES = 20_000
+CHUNK_WORDS = 1_000_000
+#: Runs found more often than this are joined apart from the others.
+HOT = 2000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+_KEY = ["doc_id", "text_key"]
 
 
 def _lowest(g: np.ndarray, size: int) -> np.ndarray:
@@ -50,16 +61,20 @@ def _fingerprint(h: np.ndarray) -> tuple[int, int]:
     return int(kernels.windows(h, len(h))[0].view(np.int64)), int(kernels.windows(kernels.mix(h ^ _TOP), len(h))[0].view(np.int64))
 
 
-def _phrases(h: np.ndarray, width: int, phrase: int) -> list[bytes]:
-    """The sampled phrases of a word sequence: the 32-bit hashes of their words."""
+def _letters(h: np.ndarray) -> np.ndarray:
+    """A code point for each word; automata run over strings of these."""
+    c = ((h >> np.uint64(32)) % np.uint64(0x10F7FF)).astype(np.uint32) + np.uint32(1)
+    return np.where(c >= 0xD800, c + np.uint32(0x800), c).astype("<u4")
+
+
+def _phrases(h: np.ndarray, width: int, phrase: int) -> list[str]:
+    """The sampled phrases of a word sequence, a character for each word."""
     if len(h) < width:
         return []
     g = kernels.windows(h, phrase)
     picked = np.flatnonzero(np.isin(g, np.unique(_lowest(g, width - phrase + 1))))
-    ids = (h >> np.uint64(32)).astype(np.uint32)
-    rows = np.unique(np.lib.stride_tricks.sliding_window_view(ids, phrase)[picked], axis=0)
-    raw = np.ascontiguousarray(rows).tobytes()
-    return [raw[i : i + 4 * phrase] for i in range(0, len(raw), 4 * phrase)]
+    text = _letters(h).tobytes().decode("utf-32-le")
+    return list({text[i : i + phrase] for i in picked.tolist()})
 
 
 def _words_of(w: kernels.Words, r: int) -> bytes:
@@ -68,11 +83,11 @@ def _words_of(w: kernels.Words, r: int) -> bytes:
 
 
 def sequences(documents: DataFrame, *, width: int = WIDTH, phrase: int = PHRASE) -> DataFrame:
-    """(doc_id, n_words, fp_a, fp_b, whole_sha256, phrases) for every row."""
+    """(doc_id, text_key, n_words, fp_a, fp_b, whole_sha256, phrases) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in kernels.words(batch.column(1)):
+            for w in kernels.words(batch.column(2)):
                 n = w.last - w.first
                 prints, shas, lists = [], [], []
                 for r in range(n):
@@ -81,118 +96,143 @@ def sequences(documents: DataFrame, *, width: int = WIDTH, phrase: int = PHRASE)
                     shas.append(hashlib.sha256(b" ".join(_words_of(w, r).split())).hexdigest())
                     lists.append(_phrases(h, width, phrase))
                 yield pa.record_batch(
-                    [batch.column(0).slice(w.first, n), pa.array(np.diff(w.rows), pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(shas, pa.string()), pa.array(lists, pa.list_(pa.binary()))],
-                    ["doc_id", "n_words", "fp_a", "fp_b", "whole_sha256", "phrases"],
+                    [batch.column(0).slice(w.first, n), batch.column(1).slice(w.first, n), pa.array(np.diff(w.rows), pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(shas, pa.string()), pa.array(lists, pa.list_(pa.string()))],
+                    [*_KEY, "n_words", "fp_a", "fp_b", "whole_sha256", "phrases"],
                 )
 
-    kind = documents.select("doc_id").schema[0].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, fp_a long, fp_b long, whole_sha256 string, phrases array<binary>")
+    return documents.select("doc_id", text_key().alias("text_key"), text_of().alias("text")).mapInArrow(run, f"doc_id {kind_of(documents, 'doc_id')}, text_key long, n_words long, fp_a long, fp_b long, whole_sha256 string, phrases array<string>")
 
 
-def _automaton(phrases: set[bytes]):
+def automaton(phrases: list[str]):
     import ahocorasick
 
-    machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for p in phrases:
-        machine.add_word(tuple(np.frombuffer(p, dtype=np.uint32).tolist()))
+        machine.add_word(p)
     machine.make_automaton()
     return machine
 
 
-def occurrences(marked: DataFrame, *, width: int = WIDTH, phrase: int = PHRASE) -> DataFrame:
-    """(doc_id, fp_a, starts, hashes) of the runs around the phrases that the automata locate.
+def _runs(machine, h: np.ndarray, width: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the runs whose sampled phrase the automaton locates."""
+    text = _letters(h).tobytes().decode("utf-32-le")
+    place = np.array([end for end, _ in machine.iter(text)], dtype=np.int64) - phrase + 1
+    g = kernels.windows(h, phrase)
+    known = np.full(len(g), _TOP)
+    known[place] = g[place]
+    starts = np.flatnonzero(_lowest(known, width - phrase + 1) == _lowest(g, width - phrase + 1))
+    return starts, kernels.windows(h, width)[starts].view(np.int64)
 
-    ``marked`` has (doc_id, fp_a, text, phrases); rows whose text is not that
-    of ``fp_a`` (another row with the same id) give nothing.
+
+def occurrences(phrases: DataFrame, texts: DataFrame, *, width: int = WIDTH, phrase: int = PHRASE) -> DataFrame:
+    """(doc_id, text_key, starts, hashes) of the runs around the phrases that the automata locate.
+
+    ``phrases`` has (shard, chunk, phrase) and ``texts`` (shard, chunk,
+    doc_id, text_key, text): a task compiles the automaton of a shard and
+    streams a chunk of the documents through it.
     """
+    kind = kind_of(texts, "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, SHARD_DOCS):
-                batch = whole.slice(at, SHARD_DOCS)
-                lists, prints = batch.column(3).to_pylist(), batch.column(1).to_pylist()
-                machine = _automaton(set().union(*lists))
-                for w in kernels.words(batch.column(2)):
-                    found = []
-                    for r in range(w.last - w.first):
-                        h = w.hash[w.rows[r] : w.rows[r + 1]]
-                        if len(h) < width or _fingerprint(h)[0] != prints[w.first + r]:
-                            continue
-                        ends = [end for end, _ in machine.iter(tuple((h >> np.uint64(32)).astype(np.uint32).tolist()))]
-                        g = kernels.windows(h, phrase)
-                        known = np.full(len(g), _TOP)
-                        place = np.array(ends, dtype=np.int64) - phrase + 1
-                        known[place] = g[place]
-                        starts = np.flatnonzero(_lowest(known, width - phrase + 1) == _lowest(g, width - phrase + 1))
+    def run(held: pa.Table, docs: pa.Table) -> pa.Table:
+        found = []
+        if held.num_rows and docs.num_rows:
+            machine = automaton(held.column("phrase").to_pylist())
+            for w in kernels.words(docs.column("text")):
+                for r in range(w.last - w.first):
+                    h = w.hash[w.rows[r] : w.rows[r + 1]]
+                    if len(h) >= width:
+                        starts, hashes = _runs(machine, h, width, phrase)
                         if len(starts):
-                            found.append((w.first + r, starts, kernels.windows(h, width)[starts].view(np.int64)))
-                    if found:
-                        rows = pa.array([f[0] for f in found])
-                        cuts = np.concatenate(([0], np.cumsum([len(f[1]) for f in found])))
-                        as_list = lambda i, t: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([f[i] for f in found]), t))  # noqa: E731, B023
-                        yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), as_list(1, pa.int32()), as_list(2, pa.int64())], ["doc_id", "fp_a", "starts", "hashes"])
+                            found.append((w.first + r, starts, hashes))
+        rows = pa.array([f[0] for f in found], pa.int64())
+        cuts = pa.array(np.concatenate(([0], np.cumsum([len(f[1]) for f in found], dtype=np.int64))), pa.int32())
+        as_list = lambda i, t: pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([f[i] for f in found]) if found else [], t))
+        return pa.table({"doc_id": docs.column("doc_id").take(rows), "text_key": docs.column("text_key").take(rows), "starts": as_list(1, pa.int32()), "hashes": as_list(2, pa.int64())})
 
-    kind = marked.select("doc_id").schema[0].dataType.simpleString()
-    return marked.select("doc_id", "fp_a", "text", "phrases").mapInArrow(run, f"doc_id {kind}, fp_a long, starts array<int>, hashes array<long>")
+    return phrases.groupBy("shard", "chunk").cogroup(texts.groupBy("shard", "chunk")).applyInArrow(run, f"doc_id {kind}, text_key long, starts array<int>, hashes array<long>")
 
 
 def _cut(marked: DataFrame, width: int) -> DataFrame:
-    """(doc_id, fp_a, n_removed, kept_text) of rows (doc_id, fp_a, text, starts)."""
+    """(doc_id, text_key, n_removed, kept_text) of rows (doc_id, text_key, text, starts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, starts = batch.column(1).to_pylist(), batch.column(3)
+            starts = batch.column(3)
             for w in kernels.words(batch.column(2)):
-                rows, removed, texts = [], [], []
-                for r in range(w.last - w.first):
-                    h = w.hash[w.rows[r] : w.rows[r + 1]]
-                    if _fingerprint(h)[0] != prints[w.first + r]:
-                        continue
-                    gone = kernels.covered(np.array(starts[w.first + r].as_py(), dtype=np.int64), width, len(h))
+                n, removed, texts = w.last - w.first, [], []
+                for r in range(n):
+                    gone = kernels.covered(starts[w.first + r].values.to_numpy().astype(np.int64), width, int(w.rows[r + 1] - w.rows[r]))
                     kept = [x for x, g in zip(_words_of(w, r).split(), gone, strict=True) if not g]
-                    rows.append(w.first + r)
                     removed.append(int(gone.sum()))
                     texts.append(b" ".join(kept).decode("utf-8", "surrogatepass"))
-                take = pa.array(rows, pa.int64())
-                yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "fp_a", "n_removed", "kept_text"])
-
-    kind = marked.select("doc_id").schema[0].dataType.simpleString()
-    return marked.select("doc_id", "fp_a", "text", "starts").mapInArrow(run, f"doc_id {kind}, fp_a long, n_removed long, kept_text string")
+                yield pa.record_batch([batch.column(0).slice(w.first, n), batch.column(1).slice(w.first, n), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], [*_KEY, "n_removed", "kept_text"])
+
+    return marked.select(*_KEY, "text", "starts").mapInArrow(run, f"doc_id {kind_of(marked, 'doc_id')}, text_key long, n_removed long, kept_text string")
+
+
+def _located(texts: DataFrame, own: DataFrame, width: int, phrase: int) -> DataFrame:
+    """The written ``occurrences`` of all confirmed phrases; ``own`` has (doc_id, text_key, n_words, phrases)."""
+    each = own.select(*_KEY, "n_words", F.explode("phrases").alias("phrase"))
+    confirmed = each.groupBy("phrase").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    confirmed = written(confirmed.select("phrase", F.xxhash64("a").alias("first")), "confirmed")
+    shards = max(1, -(-confirmed.count() // SHARD_PHRASES))
+    confirmed = confirmed.select("phrase", F.pmod("first", F.lit(shards)).cast("int").alias("shard"))
+    routes = each.join(small(confirmed), "phrase").select(*_KEY, "n_words", "shard").distinct()
+    routes = written(routes, "routes")
+    sizes = written(routes.groupBy("shard").agg(F.ceil(F.sum("n_words") / CHUNK_WORDS).cast("int").alias("chunks")), "shards")
+    chunk = F.pmod(F.xxhash64(*_KEY), F.col("chunks")).cast("int").alias("chunk")
+    routes_of = routes.join(small(sizes), "shard").select(*_KEY, "shard", chunk)
+    phrases = confirmed.join(small(sizes), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "phrase")
+    streamed = texts.join(small(written(routes_of, "chunks")), _KEY).select("shard", "chunk", *_KEY, "text")
+    runs = written(occurrences(phrases, streamed, width=width, phrase=phrase), "runs")
+    forget(confirmed, routes, sizes)
+    return runs
+
+
+def _lost(runs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, starts) of the runs that also start in a document with a smaller id.
+
+    Rows of a run are counted before they are shuffled, and runs that very
+    many documents hold are joined by broadcast, not by their hash.
+    """
+    each = runs.select(*_KEY, F.explode(F.arrays_zip("starts", "hashes")).alias("x")).select(*_KEY, F.col("x.starts").alias("start"), F.col("x.hashes").alias("hash"))
+    owners = each.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("owner < last")
+    owners = written(owners.select("hash", "owner", "n"), "owners")
+    hot = small(written(owners.where(F.col("n") > HOT).select("hash", "owner"), "hot-runs"))
+    often = each.join(hot, "hash").where("doc_id > owner").select(*_KEY, "start")
+    rest = each.join(hot.select("hash"), "hash", "left_anti").join(owners.where(F.col("n") <= HOT).select("hash", "owner"), "hash").where("doc_id > owner").select(*_KEY, "start")
+    lost = written(often.unionByName(rest).groupBy(*_KEY).agg(F.collect_set("start").alias("starts")), "lost")
+    forget(owners, hot)
+    return lost
 
 
 def dedup(documents: DataFrame, *, width: int = WIDTH, phrase: int = PHRASE) -> tuple[DataFrame, DataFrame]:
-    """(all, cut): ``all`` has (doc_id, n_words, n_removed, whole_sha256, part) for every row.
+    """(all, cut): ``all`` has (doc_id, n_words, n_removed, kept_sha256) for every row.
 
     ``cut`` has the texts of the documents that lose some words but are no
-    copies: (doc_id, fp_a, n_removed, kept_text), their words joined by one
-    space.  A null text has no words.  A null id is never a smaller id and its
-    row loses nothing; rows of one id do not remove each other's words.
+    copies: (doc_id, text_key, n_removed, kept_text), their words joined by
+    one space.  A null text has no words.  A null id is never a smaller id and
+    its row loses nothing; rows of one id do not remove each other's words.
     """
     rows = written(sequences(documents, width=width, phrase=phrase), "sequences")
-    light = rows.drop("phrases")
-    copies = light.where(F.col("n_words") >= width).groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    long = F.col("n_words") >= width
+    copies = rows.where(long).groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     copies = small(written(copies, "copies"))
-    own = rows.where(F.col("n_words") >= width).join(copies, ["fp_a", "fp_b"], "left").where("first is null or doc_id = first").select("doc_id", "fp_a", F.explode("phrases").alias("phrase"))
-    recurring = own.groupBy("phrase").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("phrase")
-    recurring = small(written(recurring, "recurring"))
-    marked = own.join(recurring, "phrase").groupBy("doc_id", "fp_a").agg(F.collect_set("phrase").alias("phrases"))
-    marked = small(written(marked, "marked"))
-    texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    runs = written(occurrences(texts.join(marked, "doc_id"), width=width, phrase=phrase), "runs")
-    each = runs.select("doc_id", "fp_a", F.explode(F.arrays_zip("starts", "hashes")).alias("x")).select("doc_id", "fp_a", F.col("x.starts").alias("start"), F.col("x.hashes").alias("hash"))
-    owners = each.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("hash", "owner")
-    lost = each.join(owners, "hash").where("doc_id > owner").groupBy("doc_id", "fp_a").agg(F.collect_set("start").alias("starts"))
-    lost = small(written(lost, "lost"))
-    cut = written(_cut(texts.join(lost, "doc_id"), width), "cut")
-    part = cut.select("doc_id", "fp_a", "n_removed", F.sha2(F.col("kept_text"), 256).alias("part_sha256")).dropDuplicates(["doc_id", "fp_a"])
-    joined = light.join(copies, ["fp_a", "fp_b"], "left").join(small(written(part, "part")), ["doc_id", "fp_a"], "left")
-    copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= width), F.lit(False))
+    own = rows.where(long & F.col("doc_id").isNotNull()).join(copies, ["fp_a", "fp_b"], "left").where("first is null or doc_id = first")
+    texts = documents.select("doc_id", text_key().alias("text_key"), text_of().alias("text"))
+    runs = _located(texts, own, width, phrase)
+    lost = _lost(runs)
+    cut = written(_cut(texts.join(small(lost), _KEY), width), "cut")
+    part = written(cut.select(*_KEY, F.col("n_removed"), F.sha2(F.col("kept_text"), 256).alias("part_sha256")).dropDuplicates(_KEY), "part")
+    joined = rows.drop("phrases").join(copies, ["fp_a", "fp_b"], "left").join(small(part), _KEY, "left")
+    copy = F.coalesce((F.col("doc_id") > F.col("first")) & long, F.lit(False))
     everything = joined.select(
         "doc_id",
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("part_sha256", "whole_sha256")).alias("kept_sha256"),
     )
+    forget(runs, lost)
     return everything, cut
 
 

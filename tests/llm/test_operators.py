@@ -420,7 +420,10 @@ def test_line_dedup(docs, rows, empty):
     assert clean.columns == docs.columns and clean.where(F.length("text") != F.col("n_chars")).count() == 0
 
 
-def test_substring_dedup(docs, rows, empty):
+@pytest.mark.parametrize(("shard", "chunk", "hot"), [(20_000, 1_000_000, 2000), (5, 300, 3)])
+def test_substring_dedup(docs, rows, empty, monkeypatch, shard, chunk, hot):
+    for name, value in (("SHARD_PHRASES", shard), ("CHUNK_WORDS", chunk), ("HOT", hot)):
+        monkeypatch.setattr(phrase_dedup, name, value)
     same(phrase_dedup.digest(docs), ("doc_id", "n_words", "n_removed", "kept_sha256"), [(r[0], *x) for r, x in zip(rows, brute.substrings(rows), strict=True)])
     assert phrase_dedup.digest(empty).count() == 0
 
