@@ -1,16 +1,24 @@
-"""Benchmark decontamination by a positional inverted index.
-
-The index is partitioned by document, as search engines do it: each slice of
-documents is a shard that stores the postings (positions by term) of its
-tokens.  Every benchmark window is a phrase query against every shard: the
-shard's rarest term of the window gives candidate starts (its postings less
-the term's offset), which are intersected with the offset-adjusted postings
-of the other terms from rare to frequent.  With ``slop`` the terms may stand
-up to that many words from their places (a proximity match).
-
-The benchmark is broadcast in blocks of at most ``BLOCK_WORDS`` words; a
-larger benchmark runs block after block over the documents, each adding to
-what the one before has found.  Documents are never shuffled.
+"""Benchmark decontamination by a distributed positional inverted index.
+
+1. The benchmark's windows become a table of term lists; terms are 64-bit
+   hashes of words.
+2. One pass over the documents counts how often each test term occurs in the
+   corpus; a window with an absent term is done.
+3. A second pass builds the index: for the ``KEYS`` rarest terms of each
+   window (by the counts of the whole corpus) the positions of all their
+   occurrences, stored as postings (term, document, positions) by ranges of
+   terms and documents, so that a frequent term is several parts.
+4. The postings of a window's rarest term, less its offset, are its candidate
+   starts; they are intersected with the offset-adjusted postings of the next
+   rare terms of the same document, with ``slop`` words of tolerance.
+5. What is left is compared with the whole text, all terms of the window: an
+   exact phrase match, or a proximity match if every term stands within
+   ``slop`` words of its place.
+
+Work follows the documents and the postings of rare terms, not documents
+times benchmark, and neither side is collected.  Only the sorted hashes of
+test terms are broadcast, up to ``TERMS`` of them; a larger vocabulary is
+joined.
 """
 
 from __future__ import annotations
@@ -23,172 +31,242 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import kernels
+from docloom.llm.common import forget, kind_of, small, text_key, text_of, written
 
 WIDTH = 10
-BLOCK_WORDS = 2_000_000
-
-_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item_id", pa.string()), ("exact", pa.bool_())]))
-
-
-class Queries:
-    """The windows of some benchmark items as rows of term numbers."""
-
-    def __init__(self, items: list[tuple[str, np.ndarray]], width: int):
-        self.vocabulary = np.unique(np.concatenate([h for _, h in items] or [np.zeros(0, kernels.U64)]))
-        seen: dict[bytes, tuple[np.ndarray, set[str]]] = {}
-        for item, h in items:
-            terms = np.searchsorted(self.vocabulary, h)
-            size = min(width, len(terms))
-            for i in range(len(terms) - size + 1 if size else 0):
-                window = terms[i : i + size]
-                seen.setdefault(window.tobytes(), (window, set()))[1].add(item)
-        self.windows = [w for w, _ in seen.values()]
-        self.items = [sorted(s) for _, s in seen.values()]
-        sizes = np.array([len(w) for w in self.windows], dtype=np.int64)
-        self.flat = np.concatenate(self.windows) if self.windows else np.zeros(0, np.int64)
-        self.begin = np.cumsum(sizes) - sizes
-
-
-class Shard:
-    """Postings of one slice of documents: for each query term its sorted positions."""
-
-    def __init__(self, w: kernels.Words, vocabulary: np.ndarray):
-        at = np.searchsorted(vocabulary, w.hash)
-        at[at == len(vocabulary)] = 0
-        self.term = np.where(vocabulary[at] == w.hash, at, -1) if len(vocabulary) else np.full(len(w.hash), -1)
-        place = np.flatnonzero(self.term >= 0)
-        order = np.argsort(self.term[place], kind="stable")
-        self.positions = place[order]
-        self.count = np.bincount(self.term[place], minlength=len(vocabulary))
-        self.first = np.cumsum(self.count) - self.count
-        self.rows = w.rows
-
-    def postings(self, term: int) -> np.ndarray:
-        return self.positions[self.first[term] : self.first[term] + self.count[term]]
-
-    def _bounds(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row = np.searchsorted(self.rows, place, side="right") - 1
-        return self.rows[row], self.rows[row + 1]
-
-    def phrase(self, window: np.ndarray) -> np.ndarray:
-        """Starts of the exact phrase."""
-        order = np.argsort(self.count[window], kind="stable")
-        place = self.postings(window[order[0]])
-        lo, hi = self._bounds(place)
-        start = place - order[0]
-        start = start[(start >= lo) & (start + len(window) <= hi)]
-        for j in order[1:]:
-            if not len(start):
-                break
-            start = start[self.term[start + j] == window[j]]
-        return start
-
-    def near(self, window: np.ndarray, slop: int) -> np.ndarray:
-        """Places of the window's rarest term around which all its terms stand within ``slop`` of their offsets, in one document."""
-        order = np.argsort(self.count[window], kind="stable")
-        place = self.postings(window[order[0]])
-        lo, hi = self._bounds(place)
-        for j in order[1:]:
-            if not len(place):
-                break
-            aim = place + (j - order[0])
-            p = self.postings(window[j])
-            i = np.searchsorted(p, np.maximum(aim - slop, lo))
-            ok = i < len(p)
-            ok[ok] = p[i[ok]] <= np.minimum(aim + slop, hi - 1)[ok]
-            place, lo, hi = place[ok], lo[ok], hi[ok]
-        return np.stack((np.maximum(place - order[0] - slop, lo), np.minimum(place - order[0] + len(window) + slop, hi)), axis=1) if len(place) else np.zeros((0, 2), np.int64)
-
-
-def _search(shard: Shard, queries: Queries, slop: int) -> list[tuple[int, int, list[str], bool]]:
-    """All (start, end, items, exact) in the shard; windows with an absent term are skipped at once."""
-    if not queries.windows:
-        return []
-    least = np.minimum.reduceat(shard.count[queries.flat], queries.begin)
-    found = []
-    for q in np.flatnonzero(least):
-        window = queries.windows[q]
-        starts = shard.phrase(window)
-        found += [(int(s), int(s) + len(window), queries.items[q], True) for s in starts]
-        if slop:
-            known = set(starts.tolist())
-            found += [(int(a), int(b), queries.items[q], False) for a, b in shard.near(window, slop) if not known.intersection(range(int(a), int(b)))]
-    return found
-
-
-def _blocks(benchmark: DataFrame, width: int) -> Iterator[Queries]:
-    """The benchmark's items as query blocks; null ids and texts without a word are left out."""
-    items, size = [], 0
-    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("i"), "text").orderBy("i", "text")
-    for row in rows.toLocalIterator():
-        for w in kernels.words(pa.array([row["text"]]), kernels.ALNUM_WORD, lower=True):
-            if len(w.hash):
-                items.append((row["i"], w.hash))
-                size += len(w.hash)
-        if size >= BLOCK_WORDS:
-            yield Queries(items, width)
-            items, size = [], 0
-    if items:
-        yield Queries(items, width)
-
-
-def find_matches(documents: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), width: int = WIDTH, slop: int = 0) -> DataFrame:
-    """Rows (row, n_words, matches) for every document; ``row`` is a struct of the columns ``keep``.
-
-    ``matches`` lists (start, end, item_id, exact): word positions, end
-    exclusive, in order.  A null text has no words; an empty benchmark gives
-    no matches; repeated rows are each searched.
+#: Words that a term may stand from its place in a proximity match.
+SLOP = 1
+KEYS = 3
+#: Most terms that are broadcast (8 bytes each).
+TERMS = 2_000_000
+COUNT_CHUNK = 2_000_000
+_KEY = ["doc_id", "text_key"]
+
+
+def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(window, item_id, terms) of every window of every item; null ids and texts without a word have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in kernels.words(batch.column(1), kernels.ALNUM_WORD, lower=True):
+                for r in range(w.last - w.first):
+                    h = w.hash[w.rows[r] : w.rows[r + 1]]
+                    if not len(h):
+                        continue
+                    size = min(width, len(h))
+                    ids, first = np.unique(kernels.windows(h, size), return_index=True)
+                    lists = np.lib.stride_tricks.sliding_window_view(h, size)[first]
+                    cuts = pa.array(np.arange(len(ids) + 1) * size, pa.int32())
+                    terms = pa.ListArray.from_arrays(cuts, pa.array(np.ascontiguousarray(lists).reshape(-1).view(np.int64)))
+                    yield pa.record_batch([pa.array(ids.view(np.int64)), batch.column(0).slice(w.first + r, 1).take(pa.array(np.zeros(len(ids), np.int64))), terms], ["window", "item_id", "terms"])
+
+    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), text_of().alias("text"))
+    return items.mapInArrow(run, "window long, item_id string, terms array<long>")
+
+
+def _shared(terms: DataFrame):
+    """The sorted terms of a written one-column table as a broadcast, or None if there are too many."""
+    if terms.count() > TERMS:
+        return None
+    values = terms.toPandas().iloc[:, 0].to_numpy(dtype=np.int64).view(np.uint64)
+    return terms.sparkSession.sparkContext.broadcast(np.sort(values))
+
+
+def _among(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    if not len(vocabulary):
+        return np.zeros(len(h), dtype=bool)
+    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+    return vocabulary[at] == h
+
+
+def rarity(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n): how often each of ``terms`` (term) occurs in all documents; absent ones have no row."""
+    shared = _shared(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value if shared is not None else None
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            t, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.record_batch([pa.array(t.view(np.int64)), pa.array(n)], ["term", "n"])
+
+        for batch in batches:
+            for w in kernels.words(batch.column(0), kernels.ALNUM_WORD, lower=True):
+                held.append(w.hash if vocabulary is None else w.hash[_among(w.hash, vocabulary)])
+                size += len(held[-1])
+                if size > COUNT_CHUNK:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    counts = documents.select(text_of().alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return counts if shared is not None else counts.join(terms, "term", "left_semi")
+
+
+def index(documents: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs, postings), both stored: (doc_id, text_key, n_words) of every row, and (term, doc_id, text_key, positions) of ``terms``.
+
+    Equal rows have equal postings, which are stored once.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
-    kind = documents.select(row).schema[0].dataType.simpleString()
-    schema = f"row {kind}, text string, n_words long, matches array<struct<start:int,end:int,item_id:string,exact:boolean>>"
-    df = documents.select(row, F.col("text").cast("string").alias("text"))
-    blocks = list(_blocks(benchmark, width)) or [Queries([], width)]
-    for number, block in enumerate(blocks):
-        shared, last = documents.sparkSession.sparkContext.broadcast(block), number == len(blocks) - 1
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            queries = shared.value
-            for batch in batches:
-                earlier = batch.column(3).to_pylist() if batch.num_columns == 4 else None
-                for w in kernels.words(batch.column(1), kernels.ALNUM_WORD, lower=True):
-                    out = [list((earlier[r] if earlier else None) or ()) for r in range(w.first, w.last)]
-                    for a, b, items, exact in _search(Shard(w, queries.vocabulary), queries, slop):
-                        r = int(np.searchsorted(w.rows, a, side="right")) - 1
-                        base = int(w.rows[r])
-                        out[r] += [{"start": a - base, "end": b - base, "item_id": i, "exact": exact} for i in items]
-                    for found in out:
-                        found.sort(key=lambda m: (m["start"], m["end"], m["item_id"]))
-                    n = w.last - w.first
-                    text = pa.nulls(n, pa.string()) if last else batch.column(1).slice(w.first, n)
-                    yield pa.record_batch([batch.column(0).slice(w.first, n), text, pa.array(np.diff(w.rows), pa.int64()), pa.array(out, _SPANS)], ["row", "text", "n_words", "matches"])
-
-        df = df.mapInArrow(search, schema)
-    return df.select("row", "n_words", "matches")
+    shared = _shared(terms)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value if shared is not None else None
+        for batch in batches:
+            for w in kernels.words(batch.column(2), kernels.ALNUM_WORD, lower=True):
+                n = w.last - w.first
+                at = np.arange(len(w.hash)) if vocabulary is None else np.flatnonzero(_among(w.hash, vocabulary))
+                row = np.searchsorted(w.rows, at, side="right") - 1
+                term = w.hash[at]
+                order = np.lexsort((at, term, row))
+                at, row, term = at[order], row[order], term[order]
+                new = np.ones(len(at), dtype=bool)
+                new[1:] = (row[1:] != row[:-1]) | (term[1:] != term[:-1])
+                begin = np.flatnonzero(new)
+                inner = pa.array(np.append(begin, len(at)), pa.int32())
+                outer = pa.array(np.searchsorted(row[begin], np.arange(n + 1)), pa.int32())
+                places = pa.ListArray.from_arrays(inner, pa.array(at - w.rows[row], pa.int32()))
+                held = pa.StructArray.from_arrays([pa.array(term[begin].view(np.int64)), places], ["term", "positions"])
+                yield pa.record_batch([batch.column(0).slice(w.first, n), batch.column(1).slice(w.first, n), pa.array(np.diff(w.rows), pa.int64()), pa.ListArray.from_arrays(outer, held)], [*_KEY, "n_words", "held"])
 
-def hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated) from the exact matches."""
-    found = find_matches(documents, benchmark)
-    items = F.array_sort(F.array_distinct(F.col("matches.item_id")))
-    # matches are in order of their start, so each adds the words beyond the furthest end so far
+    kind = kind_of(documents, "doc_id")
+    rows = documents.select("doc_id", text_key().alias("text_key"), text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, text_key long, n_words long, held array<struct<term:long,positions:array<int>>>")
+    docs = written(rows, "indexed")
+    each = docs.select(*_KEY, F.explode("held").alias("h")).select("h.term", *_KEY, "h.positions").dropDuplicates(["term", *_KEY])
+    postings = each if shared is not None else each.join(terms, "term", "left_semi")
+    return docs.select(*_KEY, "n_words"), written(postings.repartitionByRange("term", "text_key").sortWithinPartitions("term"), "postings")
+
+
+def _same_row(kind_a: str, kind_b: str):
+    return F.col(f"{kind_a}.doc_id").eqNullSafe(F.col(f"{kind_b}.doc_id")) & (F.col(f"{kind_a}.text_key") == F.col(f"{kind_b}.text_key"))
+
+
+def _candidates(keys: DataFrame, postings: DataFrame, slop: int) -> DataFrame:
+    """(window, doc_id, text_key, starts): offset-adjusted postings intersected from the rarest term on.
+
+    ``keys`` has (window, keys array<struct<n, at, term>>), rarest first.
+    """
+    first = keys.select("window", "keys", F.col("keys")[0]["at"].alias("at"), F.col("keys")[0]["term"].alias("term"))
+    found = first.join(postings, "term").select("window", "keys", *_KEY, F.transform("positions", lambda p: p - F.col("at")).alias("starts"))
+    for j in range(1, KEYS):
+        key = F.get("keys", F.lit(j))
+        asked = found.where(F.size("keys") > j).withColumn("term", key["term"]).alias("a")
+        other = asked.join(postings.alias("b"), (F.col("a.term") == F.col("b.term")) & _same_row("a", "b"))
+        allowed = F.flatten(F.transform(F.sequence(F.lit(-slop), F.lit(slop)), lambda d: F.transform("b.positions", lambda p: p - key["at"] + d)))
+        left = other.select("window", "keys", F.col("a.doc_id").alias("doc_id"), F.col("a.text_key").alias("text_key"), F.array_intersect("starts", allowed).alias("starts"))
+        found = found.where(F.size("keys") <= j).unionByName(left.where(F.size("starts") > 0))
+    return found.select("window", *_KEY, "starts")
+
+
+def _confirmed(documents: DataFrame, candidates: DataFrame, lists: DataFrame, slop: int) -> DataFrame:
+    """(doc_id, text_key, window, start, end, exact) of the candidates that the whole text holds, all terms of the window."""
+    asked = candidates.join(small(lists), "window").groupBy(*_KEY).agg(F.collect_list(F.struct("window", "starts", "terms")).alias("asked"))
+    asked = small(written(asked, "asked")).alias("b")
+    texts = documents.select("doc_id", text_key().alias("text_key"), text_of().alias("text")).alias("a")
+    rows = texts.join(asked, _same_row("a", "b")).select("a.doc_id", "a.text_key", "a.text", "b.asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in kernels.words(batch.column(2), kernels.ALNUM_WORD, lower=True):
+                out: list[tuple[int, int, int, int, bool]] = []
+                for r in range(w.last - w.first):
+                    h = w.hash[w.rows[r] : w.rows[r + 1]]
+                    for one in batch.column(3)[w.first + r].as_py():
+                        terms = np.array(one["terms"], dtype=np.int64).view(np.uint64)
+                        starts = np.unique(np.array(one["starts"], dtype=np.int64))
+                        for a, b, exact in _places(h, terms, starts, slop):
+                            out.append((w.first + r, one["window"], a, b, exact))
+                if out:
+                    take = pa.array([o[0] for o in out])
+                    yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.int32()), pa.array([o[4] for o in out], pa.bool_())], [*_KEY, "window", "start", "end", "exact"])
+
+    return rows.mapInArrow(run, f"doc_id {kind_of(documents, 'doc_id')}, text_key long, window long, start int, end int, exact boolean")
+
+
+def _places(h: np.ndarray, terms: np.ndarray, starts: np.ndarray, slop: int) -> list[tuple[int, int, bool]]:
+    """(start, end, exact) of the starts around which all terms stand; proximity matches reach ``slop`` further."""
+    exact, near = np.ones(len(starts), dtype=bool), np.ones(len(starts), dtype=bool)
+    for o, term in enumerate(terms):
+        seen = np.zeros(len(starts), dtype=bool)
+        for d in range(-slop, slop + 1):
+            at = starts + o + d
+            inside = (at >= 0) & (at < len(h))
+            here = inside & (h[np.where(inside, at, 0)] == term)
+            seen |= here
+            if d == 0:
+                exact &= here
+        near &= seen
+    out = [(int(s), int(s) + len(terms), True) for s in starts[exact]]
+    return out + [(max(0, int(s) - slop), min(len(h), int(s) + len(terms) + slop), False) for s in starts[near & ~exact]]
+
+
+def find_matches(documents: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, slop: int = SLOP) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(docs, matches, items).
+
+    ``docs`` has (doc_id, text_key, n_words) of every row; ``matches`` (doc_id,
+    text_key, window, start, end, exact), word positions with the end
+    exclusive, once for equal rows; ``items`` (window, item_id).  A null text
+    has no words; an empty benchmark gives no matches; a null id is an id.
+    """
+    all_windows = written(windows(benchmark, width), "windows")
+    lists = written(all_windows.select("window", "terms").dropDuplicates(["window"]), "window-terms")
+    each = lists.select("window", F.posexplode("terms").alias("at", "term"))
+    terms = written(each.select("term").distinct(), "terms")
+    counts = written(rarity(documents, terms), "rarity")
+    ranked = each.join(small(counts), "term").groupBy("window").agg(F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("keys"))
+    ranked = ranked.join(lists.select("window", F.size("terms").alias("size")), "window").where(F.size("keys") == F.col("size"))
+    keys = written(ranked.select("window", F.slice("keys", 1, KEYS).alias("keys")), "keys")
+    wanted = written(keys.select(F.explode("keys.term").alias("term")).distinct(), "key-terms")
+    docs, postings = index(documents, wanted)
+    candidates = _candidates(small(keys), postings, slop)
+    matches = written(_confirmed(documents, candidates, lists, slop).distinct(), "matches")
+    forget(terms, counts, keys, wanted, postings, lists)
+    return docs, matches, all_windows.select("window", "item_id").distinct()
+
+
+def _found(matches: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n_hit, exact_items, near_items) of the documents with matches."""
+    spans = F.array_sort(F.collect_set(F.when(F.col("exact"), F.struct("start", "end"))))
+    # spans are in order of their start, so each adds the words beyond the furthest end so far
     hit = F.aggregate(
-        "matches",
+        "spans",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")),
         lambda acc, m: F.struct((acc["n"] + F.greatest(m["end"] - F.greatest(acc["reach"], m["start"]), F.lit(0))).alias("n"), F.greatest(acc["reach"], m["end"]).alias("reach")),
         lambda acc: acc["n"].cast("long"),
     )
-    return found.select(
-        F.col("row.doc_id").alias("doc_id"),
-        "n_words",
-        hit.alias("n_hit"),
-        F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        (F.size("matches") > 0).alias("contaminated"),
+    words = matches.groupBy(*_KEY).agg(spans.alias("spans")).select(*_KEY, hit.alias("n_hit")).alias("a")
+    named = matches.select(*_KEY, "window", "exact").distinct().join(small(written(items, "items")), "window")
+    by_item = named.groupBy(*_KEY).agg(F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("item_id")))).alias("exact_items"), F.size(F.collect_set("item_id")).cast("long").alias("near_items")).alias("b")
+    return words.join(by_item, _same_row("a", "b")).select("a.doc_id", "a.text_key", "n_hit", "exact_items", "near_items")
+
+
+def hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items) for every row.
+
+    The first six are of exact matches; ``n_near_items`` counts the items with
+    an exact or a proximity match.
+    """
+    docs, matches, items = find_matches(documents, benchmark)
+    found = small(written(_found(matches, items), "found")).alias("b")
+    rows = docs.alias("a").join(found, _same_row("a", "b"), "left")
+    none = F.expr("cast(array() as array<string>)")
+    return rows.select(
+        "a.doc_id",
+        "a.n_words",
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.size(F.coalesce("exact_items", none)).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.coalesce("exact_items", none), ","), 256).alias("items_sha256"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.coalesce("near_items", F.lit(0)).cast("long").alias("n_near_items"),
     )
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
-    found = find_matches(documents, benchmark, keep=tuple(documents.columns))
-    return found.where(F.size("matches") == 0).select("row.*")
+    _, matches, _ = find_matches(documents, benchmark)
+    gone = small(written(matches.where("exact").select(*_KEY).distinct(), "contaminated")).alias("b")
+    keyed = documents.withColumn("_docloom_key", text_key()).alias("a")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("_docloom_key") == F.col("b.text_key"))
+    return keyed.join(gone, same, "left_anti").drop("_docloom_key")

@@ -77,27 +77,47 @@ WITH d AS (
   SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM found) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM found GROUP BY doc_id
+), token AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d
+), total AS (
+  SELECT w, count(*) AS n FROM token GROUP BY w
+), term AS (
+  SELECT k, size, unnest(string_split(k, ' ')) AS w, generate_subscripts(string_split(k, ' '), 1) AS o FROM (SELECT DISTINCT k, size FROM q)
+), rarest AS (
+  SELECT k, size, term.w, o FROM term JOIN total ON total.w = term.w QUALIFY row_number() OVER (PARTITION BY k ORDER BY n, o) = 1
+), around AS (
+  SELECT t.doc_id, r.k, r.size, t.p - r.o AS s FROM token t JOIN rarest r ON r.w = t.w
+), close AS (
+  SELECT DISTINCT doc_id, k FROM (
+    SELECT a.doc_id, a.k, a.size, a.s, count(DISTINCT term.o) AS c FROM around a JOIN term ON term.k = a.k
+    JOIN token t ON t.doc_id = a.doc_id AND t.w = term.w AND abs(t.p - a.s - term.o) <= 1 GROUP BY ALL
+  ) WHERE c = size
+), near_items AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n FROM close JOIN q ON q.k = close.k GROUP BY doc_id
 )
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated, coalesce(near_items.n, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id LEFT JOIN near_items ON near_items.doc_id = d.doc_id
 """
 
 OP8 = r"""
-WITH l AS (
-  SELECT doc_id, source, ordinality AS i, line FROM documents, unnest(string_split(coalesce(text, ''), chr(10))) WITH ORDINALITY AS u(line, ordinality)
+WITH page AS (
+  SELECT row_number() OVER () AS page, * FROM documents
+), l AS (
+  SELECT page, doc_id, source, ordinality AS i, line FROM page, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, ordinality) WHERE text IS NOT NULL
 ), pages AS (
   SELECT source, count(*) AS n FROM documents GROUP BY source
 ), seen AS (
-  SELECT source, line, count(DISTINCT doc_id) AS n FROM l WHERE regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g') <> '' GROUP BY source, line
+  SELECT source, line, count(DISTINCT page) AS n FROM l WHERE regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g') <> '' GROUP BY source, line
 ), bad AS (
   SELECT s.source, s.line FROM seen s JOIN pages p ON s.source IS NOT DISTINCT FROM p.source WHERE s.n >= 5 AND s.n > 0.03::DOUBLE * p.n
 ), marked AS (
   SELECT l.*, b.line IS NOT NULL AS drop_it FROM l LEFT JOIN bad b ON l.line = b.line AND l.source IS NOT DISTINCT FROM b.source
+), cleaned AS (
+  SELECT page, count(*) AS n, count(*) FILTER (drop_it) AS dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT drop_it), '')) AS kept FROM marked GROUP BY page
 )
-SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (drop_it)::BIGINT AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT drop_it), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+SELECT page.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(dropped, 0)::BIGINT AS n_dropped, kept AS kept_sha256
+FROM page LEFT JOIN cleaned ON cleaned.page = page.page
 """
 
 OP9 = rf"""
