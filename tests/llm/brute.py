@@ -1,6 +1,7 @@
 """Plain Python forms of the operators, for small fixtures."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -128,20 +129,72 @@ def luhn(digits):
     return total % 10 == 0
 
 
+def held(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in value.split("."))
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return kind != "phone" or 9 <= len(digits) <= 15
+
+
 def personal(text):
     out, counts = [], []
     for kind, pattern in PII.items():
-        n = 0
-        for m in re.finditer(pattern, text or ""):
-            digits = re.sub("[^0-9]", "", m[0])
-            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")) or kind == "card" and not (13 <= len(digits) <= 19 and luhn(digits)) or kind == "phone" and not 9 <= len(digits) <= 15:
-                continue
-            n += 1
-            out.append(f"{kind}:{m.start()}:{m.end()}")
-        counts.append(n)
+        found = [f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(pattern, text or "") if held(kind, m[0])]
+        out += found
+        counts.append(len(found))
     return (*counts, sha(",".join(out)))
 
 
+def telling(rows, near=40, prior=2, least=0.85):
+    """term -> replacement, from the texts of all rows."""
+    texts = {t or "" for _, t, *_ in rows}
+    any_kind = re.compile("|".join([rf"(?P<email>{PII['email']})", rf"(?P<ip>(?<![0-9]){PII['ip']})", rf"(?P<phone>{PII['phone']})", r"(?P<card>[0-9](?:[\x20-]?[0-9]){12,})"]))
+    said = lambda t: {w.lower() for w in re.findall(r"[^\W\d_]{2,}", t)}
+    names = lambda ws: {"=" + w for w in ws} | {"3" + w[:3] for w in ws if len(w) > 3} | {"1" + w[0] for w in ws}
+    total, target, pair, beside = Counter(), defaultdict(set), defaultdict(set), defaultdict(set)
+    for t in texts:
+        total.update(names(said(t)))
+        found, last = list(any_kind.finditer(t)), 0
+        for i, m in enumerate(found):
+            until = found[i + 1].start() if i + 1 < len(found) else len(t)
+            kind = m.lastgroup if m.lastgroup in PII else next(k for k in PII if m[k])
+            left, right = t[last : m.start()], t[m.end() : until]
+            last = m.end()
+            if not held(kind, m[0]):
+                continue
+            left = re.sub(r"^[^\W\d_]+", "", left[-near - 1 :]) if len(left) > near else left
+            right = re.sub(r"[^\W\d_]+$", "", right[: near + 1]) if len(right) > near else right
+            words = said(left + " " + right)
+            for c in ((kind, m[0]), (kind, None)):
+                target[c].add(t)
+                for name in names(words):
+                    pair[c, name].add(t)
+            for w in words:
+                beside[w].add(t)
+    most = defaultdict(lambda: -9.0)
+    for (c, name), where in pair.items():
+        p = len(target[c]) / len(texts)
+        given = (len(where) + prior * p) / (total[name] + prior)
+        bits = -math.log2(p)
+        most[name] = max(most[name], math.log2(given / p) / bits if bits > 0 else 0.0)
+    safe = lambda name: name in most and most[name] < least
+    out = {}
+    for name, d in most.items():
+        if name[0] == "=" and d >= least:
+            w = name[1:]
+            three, one = "3" + w[:3], "1" + w[0]
+            out[w] = f"<{w[:3]}*>" if len(w) > 3 and safe(three) else f"<{w[0]}*>" if safe(one) else ""
+    return out
+
+
+def term_spans(text, instead):
+    """(start, end, replacement) of telling terms outside addresses."""
+    hidden = re.sub(PII["email"], lambda m: " " * len(m[0]), text or "")
+    return [(m.start(), m.end(), instead[m[0].lower()]) for m in re.finditer(r"[^\W\d_]{2,}", hidden) if m[0].lower() in instead]
+
+
 def substrings(rows, width=50):
     """Index of the row -> (words, removed, sha of what is kept)."""
     first = {}

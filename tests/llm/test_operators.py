@@ -341,7 +341,7 @@ def test_decontamination(docs, rows, benchmark, empty, monkeypatch):
     names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     want = [(r[0], *brute.decontaminated(r[1], plain)) for r in rows]
     same(decontam.hits(docs, items), names, want)
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", 1)
+    monkeypatch.setattr(decontam, "TERMS", 3)
     same(decontam.hits(docs, items), names, want)
     assert decontam.hits(docs, items.limit(0)).where("contaminated").count() == 0
     assert decontam.hits(empty, items).count() == 0
@@ -350,10 +350,22 @@ def test_decontamination(docs, rows, benchmark, empty, monkeypatch):
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha beta x gamma delta"), (2, "alpha q q q q q q delta beta gamma"), (3, "alpha beta gamma delta")], "doc_id long, text string")
+    data = [(1, "alpha beta x gamma delta"), (2, "alpha q q q q q q delta beta gamma"), (3, "alpha beta gamma delta"), (4, "Beta alpha gamma delta"), (None, "zz alpha beta gamma x delta"), (5, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
     item = spark.createDataFrame([(7, "alpha beta gamma delta")], "item_id long, text string")
-    got = {r["row"]["doc_id"]: [(m["exact"]) for m in r["matches"]] for r in decontam.find_matches(docs, item, slop=1).collect()}
-    assert got == {1: [False], 2: [], 3: [True]}
+    got = Counter((r["doc_id"], r["exact"]) for r in decontam.find_matches(docs, item)[1].collect())
+    assert got == Counter({(3, True): 1, **{(d, False): 1 for d, t in data if _near(t, "alpha beta gamma delta", data)}}) and (1, False) in got
+    counts = {r["doc_id"]: (r["n_items"], r["n_near_items"]) for r in decontam.hits(docs, item).collect()}
+    assert counts[3] == (1, 1) and counts[1] == (0, 1) and counts[2] == counts[5] == (0, 0)
+
+
+def _near(text, window, data):
+    words, terms = brute.CONTENT.findall(brute.lower(text)), window.split(" ")
+    total = Counter(w for _, t in data for w in brute.CONTENT.findall(brute.lower(t)))
+    rare = min(range(len(terms)), key=lambda o: (total[terms[o]], o))
+    starts = [p - rare for p, w in enumerate(words) if w == terms[rare]]
+    fits = lambda s, d: all(any(0 <= s + o + e < len(words) and words[s + o + e] == t for e in range(-d, d + 1)) for o, t in enumerate(terms))
+    return any(fits(s, 1) and not fits(s, 0) for s in starts)
 
 
 def test_personal_data(docs, rows, empty):
@@ -370,6 +382,34 @@ def test_personal_data_edges(spark, text):
     same(pii.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")), ("n_email", "n_ip", "n_card", "n_phone", "base_sha256"), [brute.personal(text)])
 
 
+@pytest.mark.parametrize("limit", [0.85, 0.6])
+def test_terms_against_brute_force(docs, rows, monkeypatch, limit):
+    monkeypatch.setattr(pii, "MIN_DISCLOSURE", limit)
+    instead = brute.telling(rows, least=limit)
+    assert limit > 0.8 or len(set(instead.values())) > 2
+    want = Counter((d, ",".join(f"{a}:{b}:{x}" for a, b, x in brute.term_spans(t, instead))) for d, t, *_ in rows)
+    got = pii.digest(docs).collect()
+    assert Counter((r["doc_id"], r["actions"]) for r in got) == want
+    assert all([":".join(x.split(":")[:2]) for x in r["actions"].split(",")] == [x[5:] for x in r["spans"].split(",") if x.startswith("term:")] or not r["actions"] for r in got)
+
+
+def test_very_many_entities_in_one_text(spark):
+    import time
+
+    n = 100_000
+    text = " ".join(f"u{i}@mail{i}.org name{i % 50}" for i in range(n))
+    began = time.time()
+    got = pii.digest(spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_email"] for r in got} == {1: n, 2: 0}
+    assert time.time() - began < 60
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 255, 256, 257, 70_000):
+        got = spark.range(1).select(pii.running(F.expr(f"transform(slice(sequence(0, {n}), 1, {n}), x -> cast(x % 7 as int))")).alias("x")).first()[0]
+        assert got == np.cumsum(np.arange(n) % 7).tolist()
+
+
 def test_telling_terms(spark):
     data = [(i, f"please contact user{i}@mail{i}.org soon about topic number {i}") for i in range(40)] + [(100 + i, f"nothing about this soon topic number {i}") for i in range(200)]
     got = pii.digest(spark.createDataFrame(data, "doc_id long, text string")).collect()
