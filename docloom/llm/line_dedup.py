@@ -46,7 +46,8 @@ def drop_lines(documents: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), rat
     """(row, n_lines, n_dropped, clean_text) for every row; ``row`` is a struct of the columns ``keep``.
 
     A null text stays null with no lines; a text of boilerplate only becomes
-    empty.  The other lines keep their order and blank lines.
+    empty.  The other lines keep their order and blank lines.  Repeated rows
+    are pages each; an empty table gives no rows.
     """
     lists = written(boilerplate(documents, ratio=ratio, min_pages=min_pages).groupBy("host").agg(F.collect_list("line_md5").alias("bad")), "boilerplate")
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").cast("string").alias("text"), _host())

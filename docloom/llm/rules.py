@@ -59,8 +59,9 @@ def _repeated(words: Column) -> Column:
 def base(documents: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
     """(row, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) for every row.
 
-    ``row`` is a struct of the columns ``keep``; a null text has no words and
-    fails.
+    ``row`` is a struct of the columns ``keep``, so that other columns may have
+    any names; a null text has no words and fails; repeated rows count each;
+    an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
@@ -103,11 +104,13 @@ def hosts(rows: DataFrame, max_rate: float = HOST_RATE) -> DataFrame:
 
 
 def judge(documents: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
-    """The rows of ``base`` with ``host_rate`` and ``kept``, for every row."""
-    rows = base(documents, keep)
-    light = written(rows.drop("row") if "text" in keep else rows, "rules")
-    verdicts = small(written(hosts(light), "hosts").select(F.col("host").alias("verdict_host"), "rate", "host_kept"))
-    rows = rows if "text" in keep else light
+    """The rows of ``base`` with ``host_rate`` and ``kept``, for every row.
+
+    Rules are evaluated once: rows are written with their counts, hosts and
+    verdicts come from there.
+    """
+    rows = written(base(documents, keep), "rules")
+    verdicts = small(written(hosts(rows).select(F.col("host").alias("verdict_host"), "rate", "host_kept"), "hosts"))
     joined = rows.join(verdicts, F.col("host").eqNullSafe(F.col("verdict_host")), "left")
     return joined.select(*rows.columns, F.col("rate").alias("host_rate"), (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"))
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import kind_of, text_of, written
+
 CHUNK = 1 << 16
 OVERLAP = 1 << 11
 GUARD = 256
@@ -131,7 +133,8 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, *, limit: int = 512,
     """Rows (doc_id, n_bytes, n_tokens, over_limit) for every row; a null text is empty and has no tokens.
 
     ``tokenizer_path`` is a file that every worker has.  Repeated rows and
-    null ids are counted like any other row.
+    null ids are counted like any other row; other columns are not read; an
+    empty table gives no rows.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +157,6 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, *, limit: int = 512,
                 sizes = [len(x.encode("utf-8", "surrogatepass")) for x in texts]
                 yield pa.record_batch([ids.slice(start, BATCH), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    kind = documents.select("doc_id").schema[0].dataType.simpleString()
-    rows = documents.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long")
-    return rows.withColumn("over_limit", F.col("n_tokens") > limit)
+    kind = kind_of(documents, "doc_id")
+    rows = documents.select("doc_id", text_of().alias("text")).mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long")
+    return written(rows.withColumn("over_limit", F.col("n_tokens") > limit), "tokens")
