@@ -36,9 +36,10 @@ from docloom.llm.common import forget, kind_of, small, text_key, text_of, writte
 WIDTH = 10
 #: Words that a term may stand from its place in a proximity match.
 SLOP = 1
-KEYS = 3
-#: Most terms that are broadcast (8 bytes each).
+KEYS = 2
+#: Most terms that are broadcast (8 bytes each), and bytes of keys of documents with candidates.
 TERMS = 2_000_000
+KEY_BYTES = 32 << 20
 COUNT_CHUNK = 2_000_000
 _KEY = ["doc_id", "text_key"]
 
@@ -134,7 +135,11 @@ def index(documents: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]
     kind = kind_of(documents, "doc_id")
     rows = documents.select("doc_id", text_key().alias("text_key"), text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, text_key long, n_words long, held array<struct<term:long,positions:array<int>>>")
     docs = written(rows, "indexed")
-    each = docs.select(*_KEY, F.explode("held").alias("h")).select("h.term", *_KEY, "h.positions").dropDuplicates(["term", *_KEY])
+    each = docs.select(*_KEY, F.explode("held").alias("h")).select("h.term", *_KEY, "h.positions")
+    twice = written(docs.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*_KEY), "repeated")
+    if not twice.isEmpty():
+        a, b = each.alias("a"), small(twice).alias("b")
+        each = a.join(b, _same_row("a", "b"), "left_anti").unionByName(a.join(b, _same_row("a", "b"), "left_semi").dropDuplicates(["term", *_KEY]))
     postings = each if shared is not None else each.join(terms, "term", "left_semi")
     return docs.select(*_KEY, "n_words"), written(postings.repartitionByRange("term", "text_key").sortWithinPartitions("term"), "postings")
 
@@ -146,60 +151,68 @@ def _same_row(kind_a: str, kind_b: str):
 def _candidates(keys: DataFrame, postings: DataFrame, slop: int) -> DataFrame:
     """(window, doc_id, text_key, starts): offset-adjusted postings intersected from the rarest term on.
 
-    ``keys`` has (window, keys array<struct<n, at, term>>), rarest first.
+    ``keys`` has (window, keys array<struct<at, term>>), rarest first.
     """
-    first = keys.select("window", "keys", F.col("keys")[0]["at"].alias("at"), F.col("keys")[0]["term"].alias("term"))
-    found = first.join(postings, "term").select("window", "keys", *_KEY, F.transform("positions", lambda p: p - F.col("at")).alias("starts"))
-    for j in range(1, KEYS):
-        key = F.get("keys", F.lit(j))
-        asked = found.where(F.size("keys") > j).withColumn("term", key["term"]).alias("a")
+    columns = ["window", *_KEY, "starts", "rest"]
+    first = keys.select("window", F.slice("keys", 2, KEYS).alias("rest"), F.col("keys")[0]["at"].alias("at"), F.col("keys")[0]["term"].alias("term"))
+    found = first.join(postings, "term").withColumn("starts", F.transform("positions", lambda p: p - F.col("at"))).select(*columns)
+    for _ in range(1, KEYS):
+        asked = found.where(F.size("rest") > 0).select("window", *_KEY, "starts", F.col("rest")[0]["term"].alias("term"), F.col("rest")[0]["at"].alias("at"), F.slice("rest", 2, KEYS).alias("rest")).alias("a")
         other = asked.join(postings.alias("b"), (F.col("a.term") == F.col("b.term")) & _same_row("a", "b"))
-        allowed = F.flatten(F.transform(F.sequence(F.lit(-slop), F.lit(slop)), lambda d: F.transform("b.positions", lambda p: p - key["at"] + d)))
-        left = other.select("window", "keys", F.col("a.doc_id").alias("doc_id"), F.col("a.text_key").alias("text_key"), F.array_intersect("starts", allowed).alias("starts"))
-        found = found.where(F.size("keys") <= j).unionByName(left.where(F.size("starts") > 0))
+        allowed = F.flatten(F.transform(F.sequence(F.lit(-slop), F.lit(slop)), lambda d: F.transform("b.positions", lambda p: p - F.col("a.at") + d)))
+        left = other.select("window", F.col("a.doc_id").alias("doc_id"), F.col("a.text_key").alias("text_key"), F.array_intersect("starts", allowed).alias("starts"), "rest")
+        found = found.where(F.size("rest") == 0).unionByName(left.where(F.size("starts") > 0))
     return found.select("window", *_KEY, "starts")
 
 
 def _confirmed(documents: DataFrame, candidates: DataFrame, lists: DataFrame, slop: int) -> DataFrame:
     """(doc_id, text_key, window, start, end, exact) of the candidates that the whole text holds, all terms of the window."""
-    asked = candidates.join(small(lists), "window").groupBy(*_KEY).agg(F.collect_list(F.struct("window", "starts", "terms")).alias("asked"))
-    asked = small(written(asked, "asked")).alias("b")
-    texts = documents.select("doc_id", text_key().alias("text_key"), text_of().alias("text")).alias("a")
+    candidates = written(candidates, "candidates")
+    wanted = small(written(candidates.select(*_KEY).distinct(), "candidate-rows"), KEY_BYTES).alias("b")
+    texts = documents.select("doc_id", text_key().alias("text_key"), text_of().alias("text")).alias("a").join(wanted, _same_row("a", "b"), "left_semi").alias("a")
+    asked = candidates.join(small(lists), "window").groupBy(*_KEY).agg(F.collect_list(F.struct("window", "starts", "terms")).alias("asked")).alias("b")
     rows = texts.join(asked, _same_row("a", "b")).select("a.doc_id", "a.text_key", "a.text", "b.asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in kernels.words(batch.column(2), kernels.ALNUM_WORD, lower=True):
-                out: list[tuple[int, int, int, int, bool]] = []
-                for r in range(w.last - w.first):
-                    h = w.hash[w.rows[r] : w.rows[r + 1]]
-                    for one in batch.column(3)[w.first + r].as_py():
-                        terms = np.array(one["terms"], dtype=np.int64).view(np.uint64)
-                        starts = np.unique(np.array(one["starts"], dtype=np.int64))
-                        for a, b, exact in _places(h, terms, starts, slop):
-                            out.append((w.first + r, one["window"], a, b, exact))
-                if out:
-                    take = pa.array([o[0] for o in out])
-                    yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.int32()), pa.array([o[4] for o in out], pa.bool_())], [*_KEY, "window", "start", "end", "exact"])
+                asked = batch.column(3).slice(w.first, w.last - w.first)
+                row, window, start, end, exact = _places(w, asked, slop)
+                take = pa.array(w.first + row)
+                yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(window), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(exact)], [*_KEY, "window", "start", "end", "exact"])
 
     return rows.mapInArrow(run, f"doc_id {kind_of(documents, 'doc_id')}, text_key long, window long, start int, end int, exact boolean")
 
 
-def _places(h: np.ndarray, terms: np.ndarray, starts: np.ndarray, slop: int) -> list[tuple[int, int, bool]]:
-    """(start, end, exact) of the starts around which all terms stand; proximity matches reach ``slop`` further."""
-    exact, near = np.ones(len(starts), dtype=bool), np.ones(len(starts), dtype=bool)
-    for o, term in enumerate(terms):
-        seen = np.zeros(len(starts), dtype=bool)
+def _places(w: kernels.Words, asked: pa.ListArray, slop: int) -> tuple[np.ndarray, ...]:
+    """(row, window, start, end, exact) of the asked starts around which all terms stand; proximity matches reach ``slop`` further."""
+    one = asked.flatten()
+    starts, terms = one.field("starts"), one.field("terms")
+    n_starts, sizes = (x.value_lengths().to_numpy().astype(np.int64) for x in (starts, terms))
+    flat = terms.flatten().to_numpy().view(np.uint64)
+    first = np.cumsum(sizes) - sizes
+    which = np.repeat(np.arange(len(one)), n_starts)
+    row = np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy())[which]
+    at = starts.flatten().to_numpy().astype(np.int64)
+    begin, limit = w.rows[row], w.rows[row + 1]
+    exact, near = np.ones(len(at), dtype=bool), np.ones(len(at), dtype=bool)
+    for o in range(int(sizes.max(initial=0))):
+        has = sizes[which] > o
+        term = flat[np.minimum(first[which] + o, max(0, len(flat) - 1))]
+        seen = ~has
         for d in range(-slop, slop + 1):
-            at = starts + o + d
-            inside = (at >= 0) & (at < len(h))
-            here = inside & (h[np.where(inside, at, 0)] == term)
+            place = begin + at + o + d
+            here = (place >= begin) & (place < limit)
+            here &= w.hash[np.where(here, place, 0)] == term
             seen |= here
             if d == 0:
-                exact &= here
+                exact &= here | ~has
         near &= seen
-    out = [(int(s), int(s) + len(terms), True) for s in starts[exact]]
-    return out + [(max(0, int(s) - slop), min(len(h), int(s) + len(terms) + slop), False) for s in starts[near & ~exact]]
+    hit = np.flatnonzero(near)
+    reach = np.where(exact, 0, slop)[hit]
+    start = np.maximum(at[hit] - reach, 0)
+    end = np.minimum(at[hit] + sizes[which[hit]] + reach, (limit - begin)[hit])
+    return row[hit], one.field("window").to_numpy()[which[hit]], start, end, exact[hit]
 
 
 def find_matches(documents: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, slop: int = SLOP) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -217,7 +230,7 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, *, width: int = WID
     counts = written(rarity(documents, terms), "rarity")
     ranked = each.join(small(counts), "term").groupBy("window").agg(F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("keys"))
     ranked = ranked.join(lists.select("window", F.size("terms").alias("size")), "window").where(F.size("keys") == F.col("size"))
-    keys = written(ranked.select("window", F.slice("keys", 1, KEYS).alias("keys")), "keys")
+    keys = written(ranked.select("window", F.transform(F.slice("keys", 1, KEYS), lambda k: F.struct(k["at"].alias("at"), k["term"].alias("term"))).alias("keys")), "keys")
     wanted = written(keys.select(F.explode("keys.term").alias("term")).distinct(), "key-terms")
     docs, postings = index(documents, wanted)
     candidates = _candidates(small(keys), postings, slop)
