@@ -36,13 +36,16 @@ from docloom.llm import kernels
 from docloom.llm.common import forget, kind_of, small, text_key, text_of, written
 
 WIDTH = 50
-PHRASE = 6
+PHRASE = 14
 SHARD_PHRASES = 20_000
 CHUNK_WORDS = 1_000_000
 #: Runs found more often than this are joined apart from the others.
 HOT = 2000
+#: Bytes of the keys of texts that are broadcast to fetch them.
+KEY_BYTES = 32 << 20
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _KEY = ["doc_id", "text_key"]
+_BITS, _PLACE = np.array([15, 10, 5, 0]), np.array([0, 32, 64, 96])
 
 
 def _lowest(g: np.ndarray, size: int) -> np.ndarray:
@@ -61,20 +64,33 @@ def _fingerprint(h: np.ndarray) -> tuple[int, int]:
     return int(kernels.windows(h, len(h))[0].view(np.int64)), int(kernels.windows(kernels.mix(h ^ _TOP), len(h))[0].view(np.int64))
 
 
-def _letters(h: np.ndarray) -> np.ndarray:
-    """A code point for each word; automata run over strings of these."""
-    c = ((h >> np.uint64(32)) % np.uint64(0x10F7FF)).astype(np.uint32) + np.uint32(1)
-    return np.where(c >= 0xD800, c + np.uint32(0x800), c).astype("<u4")
+def codes(h: np.ndarray, phrase: int) -> np.ndarray:
+    """A 20-bit code of each run of ``phrase`` - 2 words."""
+    return (kernels.windows(h, phrase - 2) >> np.uint64(44)).astype(np.int64)
 
 
-def _phrases(h: np.ndarray, width: int, phrase: int) -> list[str]:
-    """The sampled phrases of a word sequence, a character for each word."""
+def phrase_keys(c: np.ndarray) -> np.ndarray:
+    """Three codes each, packed."""
+    return (c[:-2] << 40) | (c[1:-1] << 20) | c[2:]
+
+
+def spelled(c: np.ndarray) -> str:
+    """Four characters for each code, each place with 32 characters of its own: few edges a node, and no match across codes."""
+    return ((c[:, None] >> _BITS & 31) + _PLACE).astype(np.uint8).tobytes().decode("ascii")
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    return kernels.mix(keys.view(np.uint64))
+
+
+def _phrases(h: np.ndarray, width: int, phrase: int) -> np.ndarray:
+    """The sampled phrases of a word sequence, packed."""
     if len(h) < width:
-        return []
-    g = kernels.windows(h, phrase)
-    picked = np.flatnonzero(np.isin(g, np.unique(_lowest(g, width - phrase + 1))))
-    text = _letters(h).tobytes().decode("utf-32-le")
-    return list({text[i : i + phrase] for i in picked.tolist()})
+        return np.zeros(0, np.int64)
+    keys = phrase_keys(codes(h, phrase))
+    g = _order(keys)
+    low = _lowest(g, width - phrase + 1)
+    return np.unique(keys[np.isin(g, low[np.concatenate(([True], low[1:] != low[:-1]))])])
 
 
 def _words_of(w: kernels.Words, r: int) -> bytes:
@@ -96,31 +112,40 @@ def sequences(documents: DataFrame, *, width: int = WIDTH, phrase: int = PHRASE)
                     shas.append(hashlib.sha256(b" ".join(_words_of(w, r).split())).hexdigest())
                     lists.append(_phrases(h, width, phrase))
                 yield pa.record_batch(
-                    [batch.column(0).slice(w.first, n), batch.column(1).slice(w.first, n), pa.array(np.diff(w.rows), pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(shas, pa.string()), pa.array(lists, pa.list_(pa.string()))],
+                    [batch.column(0).slice(w.first, n), batch.column(1).slice(w.first, n), pa.array(np.diff(w.rows), pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(shas, pa.string()), pa.array(lists, pa.list_(pa.int64()))],
                     [*_KEY, "n_words", "fp_a", "fp_b", "whole_sha256", "phrases"],
                 )
 
-    return documents.select("doc_id", text_key().alias("text_key"), text_of().alias("text")).mapInArrow(run, f"doc_id {kind_of(documents, 'doc_id')}, text_key long, n_words long, fp_a long, fp_b long, whole_sha256 string, phrases array<string>")
+    return documents.select("doc_id", text_key().alias("text_key"), text_of().alias("text")).mapInArrow(run, f"doc_id {kind_of(documents, 'doc_id')}, text_key long, n_words long, fp_a long, fp_b long, whole_sha256 string, phrases array<long>")
 
 
-def automaton(phrases: list[str]):
+def automaton(keys: np.ndarray):
     import ahocorasick
 
     machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for p in phrases:
-        machine.add_word(p)
+    text = spelled(np.stack((keys >> 40, keys >> 20 & 0xFFFFF, keys & 0xFFFFF), axis=1).reshape(-1))
+    for i in range(0, len(text), 12):
+        machine.add_word(text[i : i + 12])
     machine.make_automaton()
     return machine
 
 
 def _runs(machine, h: np.ndarray, width: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
     """(starts, hashes) of the runs whose sampled phrase the automaton locates."""
-    text = _letters(h).tobytes().decode("utf-32-le")
-    place = np.array([end for end, _ in machine.iter(text)], dtype=np.int64) - phrase + 1
-    g = kernels.windows(h, phrase)
-    known = np.full(len(g), _TOP)
-    known[place] = g[place]
-    starts = np.flatnonzero(_lowest(known, width - phrase + 1) == _lowest(g, width - phrase + 1))
+    c = codes(h, phrase)
+    place = (np.fromiter((end for end, _ in machine.iter(spelled(c))), dtype=np.int64) + 1) // 4 - 3
+    if not len(place):
+        return place, place
+    g = _order(phrase_keys(c))
+    # a run is around a located phrase if that is its smallest one
+    low, reach = _lowest(g, width - phrase + 1), width - phrase
+    known = np.zeros(len(g), dtype=bool)
+    known[place] = True
+    last = np.maximum.accumulate(np.where(known, np.arange(len(g)), -1))
+    near = np.flatnonzero(last[reach:] >= np.arange(len(low)))
+    located = np.unique(g[place])
+    at = np.minimum(np.searchsorted(located, low[near]), len(located) - 1)
+    starts = near[located[at] == low[near]]
     return starts, kernels.windows(h, width)[starts].view(np.int64)
 
 
@@ -136,7 +161,7 @@ def occurrences(phrases: DataFrame, texts: DataFrame, *, width: int = WIDTH, phr
     def run(held: pa.Table, docs: pa.Table) -> pa.Table:
         found = []
         if held.num_rows and docs.num_rows:
-            machine = automaton(held.column("phrase").to_pylist())
+            machine = automaton(held.column("phrase").to_numpy())
             for w in kernels.words(docs.column("text")):
                 for r in range(w.last - w.first):
                     h = w.hash[w.rows[r] : w.rows[r + 1]]
@@ -170,22 +195,27 @@ def _cut(marked: DataFrame, width: int) -> DataFrame:
     return marked.select(*_KEY, "text", "starts").mapInArrow(run, f"doc_id {kind_of(marked, 'doc_id')}, text_key long, n_removed long, kept_text string")
 
 
+def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` joined with the written table ``wanted`` (doc_id, text_key, ...); the others are left out before anything is shuffled."""
+    keys = small(written(wanted.select(*_KEY).distinct(), "wanted"), KEY_BYTES)
+    return texts.join(keys, _KEY, "left_semi").join(wanted, _KEY)
+
+
 def _located(texts: DataFrame, own: DataFrame, width: int, phrase: int) -> DataFrame:
     """The written ``occurrences`` of all confirmed phrases; ``own`` has (doc_id, text_key, n_words, phrases)."""
     each = own.select(*_KEY, "n_words", F.explode("phrases").alias("phrase"))
     confirmed = each.groupBy("phrase").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
     confirmed = written(confirmed.select("phrase", F.xxhash64("a").alias("first")), "confirmed")
     shards = max(1, -(-confirmed.count() // SHARD_PHRASES))
-    confirmed = confirmed.select("phrase", F.pmod("first", F.lit(shards)).cast("int").alias("shard"))
-    routes = each.join(small(confirmed), "phrase").select(*_KEY, "n_words", "shard").distinct()
-    routes = written(routes, "routes")
+    sharded = confirmed.select("phrase", F.pmod("first", F.lit(shards)).cast("int").alias("shard"))
+    routes = written(each.join(sharded, "phrase").select(*_KEY, "n_words", "shard").distinct(), "routes")
     sizes = written(routes.groupBy("shard").agg(F.ceil(F.sum("n_words") / CHUNK_WORDS).cast("int").alias("chunks")), "shards")
     chunk = F.pmod(F.xxhash64(*_KEY), F.col("chunks")).cast("int").alias("chunk")
-    routes_of = routes.join(small(sizes), "shard").select(*_KEY, "shard", chunk)
-    phrases = confirmed.join(small(sizes), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "phrase")
-    streamed = texts.join(small(written(routes_of, "chunks")), _KEY).select("shard", "chunk", *_KEY, "text")
+    dealt = written(routes.join(small(sizes), "shard").select(*_KEY, "shard", chunk), "chunks")
+    phrases = sharded.join(small(sizes), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "phrase")
+    streamed = _texts(texts, dealt).select("shard", "chunk", *_KEY, "text")
     runs = written(occurrences(phrases, streamed, width=width, phrase=phrase), "runs")
-    forget(confirmed, routes, sizes)
+    forget(confirmed, routes, sizes, dealt)
     return runs
 
 
@@ -222,7 +252,7 @@ def dedup(documents: DataFrame, *, width: int = WIDTH, phrase: int = PHRASE) ->
     texts = documents.select("doc_id", text_key().alias("text_key"), text_of().alias("text"))
     runs = _located(texts, own, width, phrase)
     lost = _lost(runs)
-    cut = written(_cut(texts.join(small(lost), _KEY), width), "cut")
+    cut = written(_cut(_texts(texts, lost), width), "cut")
     part = written(cut.select(*_KEY, F.col("n_removed"), F.sha2(F.col("kept_text"), 256).alias("part_sha256")).dropDuplicates(_KEY), "part")
     joined = rows.drop("phrases").join(copies, ["fp_a", "fp_b"], "left").join(small(part), _KEY, "left")
     copy = F.coalesce((F.col("doc_id") > F.col("first")) & long, F.lit(False))
