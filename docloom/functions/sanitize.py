@@ -67,8 +67,20 @@ def sanitize(text: str | None) -> dict:
     return out
 
 
+#: Texts without these are their own clusters, one character each, and stay as they are.
+SUSPECT = r"[^\x{0000}-\x{02FF}]|\r"
+
+
 def sanitized(docs, *, key: str = "doc_id", text: str = "text"):
-    """(key, REPORT, _error) of a DataFrame of texts."""
+    """(key, REPORT, _error) of a DataFrame of texts; only texts with marks, controls or wide characters go to Python."""
+    from pyspark.sql import functions as F
+
     from docloom.plans.rowwise import rowwise
 
-    return rowwise(docs, sanitize, [text], REPORT, [key])
+    suspect = F.coalesce(F.col(text).rlike(SUSPECT), F.lit(True))
+    done = rowwise(docs.where(suspect), sanitize, [text], REPORT, [key])
+    zero, no = F.lit(0), F.lit(False)
+    plain = docs.where(~suspect).select(
+        key, F.col(text).alias("text"), F.when(F.col(text) == "", 0).otherwise(1).alias("max_cluster"), zero.alias("excessive_marks"), zero.alias("zwj_chain"), no.alias("bidi"), no.alias("tags"), no.alias("abuse"), F.lit(None).cast("string").alias("_error")
+    )
+    return done.unionByName(plain)

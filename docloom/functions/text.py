@@ -81,9 +81,16 @@ CHARSETS = {
 }
 
 
+def charset_label(label: Column | str) -> Column:
+    """A declared charset in its plain spelling: no quotes, lower case, hyphens."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.regexp_replace(F.trim(_c(label)), "^[\"']+|[\"']+$", ""))), "_", "-"), "-+", "-")
+    plain = F.regexp_replace(plain, r"\$esc$", "")
+    return F.when(plain == "latin-1", "latin1").otherwise(plain)
+
+
 def decoded(data: Column | str, label: Column | str) -> Column:
-    """Binary text under a declared charset; null for labels without a decoder."""
-    data, key = _c(data), F.lower(F.trim(_c(label)))
+    """Binary text under a declared charset; null for labels without a JVM decoder (``sources.tables.decoded`` has more)."""
+    data, key = _c(data), charset_label(label)
     choice = None
     for name, charset in CHARSETS.items():
         value = F.decode(data, charset)
@@ -105,7 +112,7 @@ def end_paragraph(text: Column | str) -> Column:
 def externalized(text: Column | str, mark: Column | str) -> Column:
     """A run in its mark-up with outer white space outside the marks."""
     t, m = _c(text), F.lit(mark) if isinstance(mark, str) else mark
-    body = F.trim(t)
+    body = F.regexp_replace(t, r"^\s+|\s+$", "")
     lead, tail = F.regexp_extract(t, r"^(\s*)", 1), F.regexp_extract(t, r"(\s*)$", 1)
     return F.when((body == "") | (m == ""), t).otherwise(F.concat(lead, m, body, F.reverse(m), tail))
 

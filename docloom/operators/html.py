@@ -29,13 +29,20 @@ def _nodes(html, base=None):
         yield {"node_id": i, "parent_id": up if up >= 0 else None, "subtree_end": tree.end[i], "depth": tree.depth[i], "sib_ord": order[up], "kind": tree.kind[i], "tag": tree.tag[i], "attrs": tree.attrs[i], "text": tree.text[i], "transparent": tree.kind[i] == "element" and tree.transparent(i)}
 
 
-def _rendered(html, base=None, main=False):
+OUTPUTS = {"content": "string", "markdown": "string", "link_density": "double"}
+
+
+def _rendered(html, base=None, main=False, outputs=tuple(OUTPUTS)):
     from docloom.parse import html_main, html_markdown, html_text, html_tree
 
     tree = _parsed(html, base)
     top, gone, tier = html_main.select(tree) if main else (html_tree.root(tree), set(), "whole")
-    m = html_main.Measures(tree, gone)
-    return {"tier": tier, "content": html_text.text(tree, top, gone).strip(), "markdown": html_markdown.markdown(tree, top, gone), "link_density": m.link_density(top)}
+    made = {
+        "content": lambda: html_text.text(tree, top, gone).strip(),
+        "markdown": lambda: html_markdown.markdown(tree, top, gone),
+        "link_density": lambda: html_main.Measures(tree, gone).link_density(top),
+    }
+    return {"tier": tier} | {name: made[name]() for name in outputs}
 
 
 def dom_nodes(pages: DataFrame, *, key: str = "page_id", html: str = "html", base: str | None = "url") -> DataFrame:
@@ -43,11 +50,10 @@ def dom_nodes(pages: DataFrame, *, key: str = "page_id", html: str = "html", bas
     return rowwise(pages, _nodes, [html, *([base] if base else [])], NODES, [key], many=True)
 
 
-def render(pages: DataFrame, *, main: bool = False, key: str = "page_id", html: str = "html", base: str | None = "url") -> DataFrame:
-    """(key, tier, content, markdown, link_density, _error); ``main`` keeps the main content only."""
-    if main:
-        return rowwise(pages, lambda h, b=None: _rendered(h, b, True), [html, *([base] if base else [])], "tier string, content string, markdown string, link_density double", [key])
-    return rowwise(pages, _rendered, [html, *([base] if base else [])], "tier string, content string, markdown string, link_density double", [key])
+def render(pages: DataFrame, *, main: bool = False, key: str = "page_id", html: str = "html", base: str | None = "url", outputs: tuple[str, ...] = tuple(OUTPUTS), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep, tier, outputs, _error); ``main`` keeps the main content only, and only the ``outputs`` asked for are made."""
+    schema = ", ".join(["tier string", *[f"{name} {OUTPUTS[name]}" for name in outputs]])
+    return rowwise(pages, lambda h, b=None: _rendered(h, b, main, outputs), [html, *([base] if base else [])], schema, [key, *keep])
 
 
 def visible(nodes: DataFrame, key: str = "page_id", tags: tuple[str, ...] = ()) -> DataFrame:
@@ -145,20 +151,22 @@ def table_kinds(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     Nested tables, one row, one cell in the first row, mostly images, mostly
     many-block cells, or uneven rows make a layout table.
     """
-    t = nodes.where("tag = 'table'").select(F.col(key).alias("_k"), F.col("node_id").alias("table_id"), F.col("subtree_end").alias("table_end"))
-    # depth of table nesting by running counts; rows belong to the innermost open table
-    order = Window.partitionBy(key).orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
-    outer = nodes.withColumn("_open", F.coalesce(F.max(F.when(F.col("tag") == "table", F.col("subtree_end"))).over(order), F.lit(0)))
-    nested = outer.where("tag = 'table' and node_id < _open").select(key, "node_id")
-    holder = F.last(F.when(F.col("tag") == "table", F.col("node_id")), ignorenulls=True).over(Window.partitionBy(key).orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0))
-    row_of = F.last(F.when(F.col("tag") == "tr", F.col("node_id")), ignorenulls=True).over(Window.partitionBy(key).orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0))
-    cells = nodes.withColumn("_t", holder).withColumn("_r", row_of).where("tag in ('td', 'th') and _r > _t")
-    kids = nodes.groupBy(key, F.col("parent_id").alias("node_id")).agg(F.count_if(F.col("tag").isin("p", "div", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "table")).alias("blocks"), F.count_if((F.col("kind") == "text") & (F.trim("text") != "")).alias("texts"), F.count_if(F.col("tag") == "img").alias("images"))
-    cells = cells.join(kids, [key, "node_id"], "left").na.fill(0, ["blocks", "texts", "images"])
-    rows = cells.groupBy(key, F.col("_t").alias("table_id"), "_r").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("images") > 0) & (F.col("texts") == 0)).alias("image_only"), F.count_if(F.col("blocks") >= 3).alias("many"))
-    per = rows.groupBy(key, "table_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n_cells"), F.min_by("n", "_r").alias("first"), F.sum("image_only").alias("image_only"), F.sum("many").alias("many"), F.stddev_pop("n").alias("spread"))
-    inner = nested.join(t, (F.col(key) == F.col("_k")) & (F.col("node_id") > F.col("table_id")) & (F.col("node_id") < F.col("table_end"))).select(key, "table_id", F.lit(True).alias("has_inner")).distinct()
-    per = per.join(inner, [key, "table_id"], "left")
+    tables = nodes.where("tag = 'table'").select(key, F.col("node_id").alias("table_id"), F.col("subtree_end").alias("table_end"))
+    # rows hang on their table or on a section of it, cells on their row: equalities, also after a nested table
+    sections = nodes.where("tag in ('thead', 'tbody', 'tfoot')").select(key, F.col("node_id").alias("up"), F.col("parent_id").alias("of"))
+    rows_of = nodes.where("tag = 'tr'").select(key, F.col("node_id").alias("row_id"), F.col("parent_id").alias("up")).join(sections, [key, "up"], "left")
+    rows_of = rows_of.select(key, "row_id", F.coalesce("of", "up").alias("table_id")).join(tables.select(key, "table_id"), [key, "table_id"], "left_semi")
+    cells = nodes.where("tag in ('td', 'th')").select(key, "node_id", F.col("parent_id").alias("row_id")).join(rows_of, [key, "row_id"])
+    blocks = F.col("tag").isin("p", "div", "table", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6")
+    kids = nodes.where("kind = 'element'").groupBy(key, F.col("parent_id").alias("node_id")).agg(F.count_if(blocks).alias("blocks"), F.count(F.lit(1)).alias("elements"), F.count_if(F.col("tag") == "img").alias("images"))
+    cells = cells.join(kids, [key, "node_id"], "left").na.fill(0, ["blocks", "elements", "images"])
+    rows = cells.groupBy(key, "table_id", "row_id").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("images") == 1) & (F.col("elements") == 1)).alias("image_only"), F.count_if(F.col("blocks") >= 3).alias("many"))
+    rows = rows_of.join(rows.withColumnRenamed("table_id", "_t"), [key, "row_id"], "left").drop("_t").na.fill(0, ["n", "image_only", "many"])
+    per = rows.groupBy(key, "table_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n_cells"), F.min_by("n", "row_id").alias("first"), F.sum("image_only").alias("image_only"), F.sum("many").alias("many"), F.stddev_pop("n").alias("spread"))
+    # tables do not overlap otherwise, so one that holds another ends after the next one begins
+    following = F.lead("table_id").over(Window.partitionBy(key).orderBy("table_id"))
+    holds = tables.withColumn("_next", following).where("_next < table_end").select(key, "table_id", F.lit(True).alias("has_inner"))
+    per = per.join(holds, [key, "table_id"], "left")
     layout = F.coalesce("has_inner", F.lit(False)) | (F.col("n_rows") <= 1) | (F.col("first") <= 1) | (F.col("image_only") > 0.5 * F.col("n_cells")) | (F.col("many") > 0.3 * F.col("n_cells")) | (F.col("spread") > 1.0)
     return per.select(key, "table_id", "n_rows", "n_cells", "spread", layout.alias("is_layout"))
 

@@ -18,11 +18,11 @@ def _pages(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*PAGE).agg(F.collect_list(F.struct("x", "y", "w", "h", "text")).alias("boxes"))
 
 
-def _per_page(rows: DataFrame, name: str) -> DataFrame:
+def _per_page(rows: DataFrame, name: str, scale: float = 1.0) -> DataFrame:
     def run(boxes):
         from docloom.parse import layout
 
-        steps = {"lines": layout.lines, "order": layout.reading_order, "paragraphs": lambda b: layout.paragraphs(layout.lines(b))}
+        steps = {"lines": layout.lines, "order": layout.reading_order, "paragraphs": lambda b: layout.paragraphs(layout.lines(b), scale)}
         return [b | {"seq": i} for i, b in enumerate(steps[name](sorted(boxes, key=lambda b: (b["y"], b["x"], b["text"]))))]
 
     return rowwise(_pages(rows), run, ["boxes"], f"seq int, {BOX}", PAGE, many=True)
@@ -38,9 +38,9 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     return _per_page(blocks, "order")
 
 
-def paragraphs(fragments: DataFrame) -> DataFrame:
-    """(doc_id, page, seq, BOX): lines merged to paragraphs."""
-    return _per_page(fragments, "paragraphs")
+def paragraphs(fragments: DataFrame, scale: float = 1000.0) -> DataFrame:
+    """(doc_id, page, seq, BOX): lines merged to paragraphs; ``scale`` is page units a unit of the boxes."""
+    return _per_page(fragments, "paragraphs", scale)
 
 
 def page_text(page_lines: DataFrame) -> DataFrame:
@@ -81,11 +81,72 @@ def anchors(page_lines: DataFrame, images: DataFrame) -> DataFrame:
     return near.where(hit).groupBy(*PAGE, "image").agg(F.min("seq").alias("line"))
 
 
-def split_by_gap(page_lines: DataFrame) -> DataFrame:
-    """Adds ``paragraph``: a new one where the gap to the line above is over 0.8 of the line height and 0.016."""
-    order = Window.partitionBy(*PAGE).orderBy("seq")
+def split_by_gap(page_lines: DataFrame, least: float = 0.016) -> DataFrame:
+    """Adds ``paragraph``: a new one where the gap to the line above is over 0.8 of the taller of both and over ``least``.
+
+    Lines are in order of (seq, y, x, h, text), so that equal numbers do not
+    make the result depend on the plan.
+    """
+    order = Window.partitionBy(*PAGE).orderBy("seq", "y", "x", "h", "text")
     gap = F.col("y") - F.lag(F.col("y") + F.col("h")).over(order)
-    return page_lines.withColumn("paragraph", F.sum(F.coalesce((gap > F.greatest(0.8 * F.col("h"), F.lit(0.016))).cast("int"), F.lit(0))).over(order))
+    tall = F.greatest(F.col("h"), F.lag("h").over(order))
+    return page_lines.withColumn("_new", F.coalesce((gap > F.greatest(0.8 * tall, F.lit(least))).cast("int"), F.lit(0))).withColumn("paragraph", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+#: A block of a page: boxes in page units, with what its kind needs.
+BLOCK = (
+    "kind string, x double, y double, w double, h double, text string, source string, ordered boolean, "
+    "lines array<struct<x:double,y:double,w:double,h:double,text:string>>, "
+    "items array<struct<x:double,y:double,w:double,h:double,text:string,marker:string>>, "
+    "rows array<array<struct<x:double,y:double,w:double,h:double,text:string>>>"
+)
+
+
+def _blocks(blocks: DataFrame) -> DataFrame:
+    """One row a page: its blocks as an array, in order of seq."""
+    fields = [x.split(" ", 1) for x in BLOCK.split(", ")]
+    columns = [n for n, _ in fields]
+    missing = [F.lit(None).cast(t).alias(n) for n, t in fields if n not in blocks.columns]
+    rows = blocks.select(*PAGE, "seq", *[c for c in columns if c in blocks.columns], *missing)
+    return rows.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.struct(*columns).alias("b")))), lambda x: x["b"]).alias("blocks"))
+
+
+def _many(step):
+    return lambda *values: [b | {"seq": i} for i, b in enumerate(step(*values))]
+
+
+def composed(page_lines: DataFrame, blocks: DataFrame, page: tuple[float, float] = (1000.0, 1000.0)) -> DataFrame:
+    """(doc_id, page, seq, BLOCK): recognised blocks filled with the page's lines, the others attached or paragraphs of their own."""
+
+    def run(boxes, held):
+        from docloom.parse import blocks as B
+
+        return B.composed(sorted(boxes or [], key=lambda b: (b["y"], b["x"], b["text"])), held or [], page)
+
+    both = _pages(page_lines).join(_blocks(blocks), PAGE, "full")
+    return rowwise(both, _many(run), ["boxes", "blocks"], f"seq int, {BLOCK}", PAGE, many=True)
+
+
+def post_processed(blocks: DataFrame, page: tuple[float, float] = (1000.0, 1000.0)) -> DataFrame:
+    """(doc_id, page, seq, BLOCK): ordered, merged, split and without repeats."""
+
+    def run(held):
+        from docloom.parse import blocks as B
+
+        return B.post_processed(held, page)
+
+    return rowwise(_blocks(blocks), _many(run), ["blocks"], f"seq int, {BLOCK}", PAGE, many=True)
+
+
+def blocks_markdown(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page, markdown): the blocks of each page as Markdown."""
+
+    def run(held):
+        from docloom.parse import blocks as B
+
+        return {"markdown": B.markdown(held)}
+
+    return rowwise(_blocks(blocks), run, ["blocks"], "markdown string", PAGE)
 
 
 def first_lines(page_lines: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

@@ -32,11 +32,11 @@ def paragraph_texts(runs: DataFrame, keys: list[str], markdown: bool = True) ->
 
 
 def numbered(items: DataFrame, doc: str = "doc_id", start: str = "start") -> DataFrame:
-    """Adds ``number`` to rows (doc, seq, num_id, level, ordered, start): counters by list and level that a shallower ordered item resets; other paragraphs and bullets do not."""
+    """Adds ``number`` to rows (doc, seq, num_id, level, ordered, start): counters by list and level that a shallower ordered item resets; other paragraphs and bullets do not.  Any number of levels."""
     by_list = Window.partitionBy(doc, "num_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     counts = F.col("num_id").isNotNull() & F.col("ordered")
     # one running count a level of resets that this level sees: ordered rows of smaller level
-    deepest = 9
+    deepest = (items.agg(F.max("level")).first()[0] or 0) + 1
     resets = F.array(*[F.sum((counts & (F.col("level") < k)).cast("int")).over(by_list) for k in range(deepest)])
     rows = items.withColumn("island", F.get(resets, F.col("level")))
     turn = F.sum(counts.cast("int")).over(Window.partitionBy(doc, "num_id", "level", "island").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))

@@ -246,6 +246,10 @@ def flat(blocks: Blocks) -> list[str]:
     return out
 
 
+# The children that make a cell a block of content.
+CELL_BLOCKS = frozenset(("p", "div", "table", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6"))
+
+
 def is_layout(tree: Tree, i: int) -> bool:
     """A table that only arranges: seven tests in order."""
     rows = html_text.rows(tree, i)
@@ -253,10 +257,11 @@ def is_layout(tree: Tree, i: int) -> bool:
     if any(_nested(tree, c) for r in cells for c in r) or len(rows) <= 1 or len(cells[0]) <= 1:
         return True
     every = [c for r in cells for c in r]
-    only_image = [c for c in every if not html_text.text(tree, c).strip() and any(tree.tag[j] == "img" for j in range(c, tree.end[c]))]
+    inside = {c: [tree.tag[j] for j in tree.children(c) if tree.kind[j] == ELEMENT] for c in every}
+    only_image = [c for c in every if inside[c] == ["img"]]
     if len(only_image) > 0.5 * len(every):
         return True
-    if sum(sum(tree.tag[j] in BLOCK for j in tree.children(c)) >= 3 for c in every) > 0.3 * len(every):
+    if sum(sum(t in CELL_BLOCKS for t in inside[c]) >= 3 for c in every) > 0.3 * len(every):
         return True
     return pstdev(len(r) for r in cells) > 1.0
 

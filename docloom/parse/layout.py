@@ -63,17 +63,10 @@ def reading_order(blocks: list[dict], tolerance: float = 0.01) -> list[dict]:
     return sorted(blocks, key=cmp_to_key(lambda a, b: (compare(a, b) > 0) - (compare(a, b) < 0)))
 
 
-def paragraphs(page_lines: list[dict]) -> list[dict]:
-    """Lines merged to paragraphs: split where the gap is over 0.8 of the line height (and 0.016 of the page)."""
-    out: list[dict] = []
-    bottom = None
-    for x in page_lines:
-        if out and bottom is not None and x["y"] - bottom <= max(0.8 * x["h"], 0.016):
-            p = out[-1]
-            right, low = max(p["x"] + p["w"], x["x"] + x["w"]), max(p["y"] + p["h"], x["y"] + x["h"])
-            left = min(p["x"], x["x"])
-            out[-1] = {"x": left, "y": p["y"], "w": right - left, "h": low - p["y"], "text": p["text"] + " " + x["text"]}
-        else:
-            out.append(dict(x))
-        bottom = x["y"] + x["h"]
-    return out
+def paragraphs(page_lines: list[dict], scale: float = 1.0) -> list[dict]:
+    """Lines merged to paragraphs where gap and left edge allow; headings stay alone; texts are joined by newlines."""
+    from docloom.parse import blocks
+
+    grown = [blocks.paragraph([x | {k: x[k] * scale for k in "xywh"}]) for x in page_lines]
+    done = blocks.merged(grown, (scale, scale) if scale != 1.0 else blocks.PAGE)
+    return [{k: b[k] / scale for k in "xywh"} | {"text": b["text"]} for b in done]

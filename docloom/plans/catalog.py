@@ -35,15 +35,15 @@ _WORDS = rf"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp
 @query(f"SELECT page_id, url, md5({_WORDS}) AS content_md5, length({_WORDS})::BIGINT AS n_chars FROM pages")
 def h18_main_content(spark: SparkSession, folder: str) -> DataFrame:
     """Main-content text of every page, white space collapsed."""
-    got = html.render(table(spark, folder, "pages"), main=True)
+    got = html.render(table(spark, folder, "pages").withColumn("link", F.col("url")), main=True, outputs=("content",), keep=("link",)).withColumnRenamed("link", "url")
     words = F.trim(F.regexp_replace("content", r"\s+", " "))
-    return table(spark, folder, "pages").select("page_id", "url").join(got, "page_id").select("page_id", "url", F.md5(words).alias("content_md5"), F.length(words).cast("long").alias("n_chars"))
+    return got.select("page_id", "url", F.md5(words).alias("content_md5"), F.length(words).cast("long").alias("n_chars"))
 
 
 @query()
 def h3_html_to_markdown(spark, folder):
     """Markdown of every whole page."""
-    return html.render(table(spark, folder, "pages")).select("page_id", "markdown", "tier", "_error")
+    return html.render(table(spark, folder, "pages"), outputs=("markdown",)).select("page_id", "markdown", "tier", "_error")
 
 
 @query()
@@ -212,28 +212,32 @@ def g_sanitize(spark, folder):
     """Every text cleaned of Unicode abuse, with the report."""
     from docloom.functions.sanitize import sanitized
 
-    return sanitized(table(spark, folder, "documents")).drop("text")
+    return sanitized(table(spark, folder, "documents")).withColumn("text", F.md5("text")).withColumnRenamed("text", "text_md5")
 
 
-_NOTES = [(1, "B[^b] then A[^a] and B[^b], no[^x].\n\n[^a]: Alpha\n    goes on\n\n    more\n[^b]: Beta\n[^a]: again"), (2, "none"), (3, None)]
+def _notes(spark, folder) -> DataFrame:
+    """Every document's language and source as a text with footnotes, some defined twice or not at all."""
+    parts = [F.lit("B "), F.col("lang"), F.lit("[^b] then A[^a] and B[^b], no[^x].\n\n[^a]: Alpha "), F.col("doc_id").cast("string"), F.lit("\n    goes on\n\n    more\n[^b]: "), F.col("source"), F.lit("\n[^a]: again\n")]
+    return table(spark, folder, "documents").select("doc_id", F.concat(*parts).alias("text"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'b', 1, 1, 1), (1, 'a', 2, 2, 1), (1, 'b', 3, 1, 2)) AS t(doc_id, id, pos, number, occurrence)")
+@query("SELECT doc_id, id, pos::INT AS pos, number::INT AS number, occurrence::INT AS occurrence FROM documents, (VALUES ('b', 1, 1, 1), ('a', 2, 2, 1), ('b', 3, 1, 2)) AS t(id, pos, number, occurrence)")
 def m7_footnote_numbers(spark, folder):
-    """Numbers and occurrences of the references of a small fixture."""
-    return markdown.footnotes(spark.createDataFrame(_NOTES, "doc_id long, text string"))[1]
+    """Numbers and occurrences of footnote references."""
+    return markdown.footnotes(_notes(spark, folder))[1]
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'a', E'Alpha\\ngoes on\\n\\nmore'), (1, 'b', 'Beta')) AS t(doc_id, id, body)")
+@query("SELECT doc_id, 'a' AS id, 'Alpha ' || doc_id || E'\\ngoes on\\n\\nmore' AS body FROM documents UNION ALL SELECT doc_id, 'b', source FROM documents")
 def m5_footnote_definitions(spark, folder):
-    """Footnote definitions of a small fixture."""
-    return markdown.footnotes(spark.createDataFrame(_NOTES, "doc_id long, text string"))[0]
+    """Footnote definitions, the first of each name."""
+    return markdown.footnotes(_notes(spark, folder))[0]
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'Real'), (2, 'Two')) AS t(doc_id, title)")
+@query("SELECT doc_id, lang || ' ' || doc_id AS title FROM documents")
 def m19_titles(spark, folder):
-    """First headings outside fences of a small fixture."""
-    return markdown.titles(spark.createDataFrame([(1, "```\n# no\n```\n## Real ##\n# later"), (2, "x\n# Two"), (3, "none")], "doc_id long, text string"))
+    """First headings outside fences, before every whole text."""
+    lead = F.concat(F.lit("```\n# no\n```\n## "), "lang", F.lit(" "), F.col("doc_id").cast("string"), F.lit(" ##\n# later\n"), "text")
+    return markdown.titles(table(spark, folder, "documents").select("doc_id", lead.alias("text")))
 
 
 # ---- paragraphs, lists, slides ----
@@ -474,10 +478,15 @@ def l2_typical_height(spark, folder):
     return layout.typical_height(_fragments(spark, folder))
 
 
-@query(f"SELECT doc_id, page, seq, sum(CASE WHEN y - (py + ph) > greatest(0.8 * h, 0.016) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY seq ROWS UNBOUNDED PRECEDING)::BIGINT AS paragraph FROM (SELECT *, lag(y) OVER w AS py, lag(h) OVER w AS ph FROM ({_FRAGMENTS}) WINDOW w AS (PARTITION BY doc_id, page ORDER BY seq))")
+@query(
+    f"""
+SELECT doc_id, page, seq, y, x, sum(CASE WHEN y - (py + ph) > greatest(0.8 * greatest(h, ph), 0.016) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY seq, y, x, h, text ROWS UNBOUNDED PRECEDING)::BIGINT AS paragraph
+FROM (SELECT *, lag(y) OVER w AS py, lag(h) OVER w AS ph FROM ({_FRAGMENTS}) WINDOW w AS (PARTITION BY doc_id, page ORDER BY seq, y, x, h, text))
+"""
+)
 def l10_split_by_gap(spark, folder):
     """Paragraphs by vertical gaps."""
-    return layout.split_by_gap(_fragments(spark, folder)).select("doc_id", "page", "seq", F.col("paragraph").cast("long").alias("paragraph"))
+    return layout.split_by_gap(_fragments(spark, folder)).select("doc_id", "page", "seq", "y", "x", F.col("paragraph").cast("long").alias("paragraph"))
 
 
 @query(
@@ -518,9 +527,73 @@ def l3_page_text(spark, folder):
     return layout.page_text(layout.lines(_fragments(spark, folder)))
 
 
+@query(
+    r"""
+WITH b AS (SELECT conv_id AS doc_id, turn, CASE turn % 4
+  WHEN 0 THEN trim(text, E' \n\t\r')
+  WHEN 1 THEN (SELECT string_agg(CASE WHEN conv_id % 2 = 1 THEN i || '. ' ELSE '- ' END || trim(x, E' \n\t\r'), chr(10) ORDER BY i) FROM (SELECT unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i))
+  WHEN 2 THEN '| ' || role || ' | ' || turn || E' |\n| --- | --- |\n| ' || replace(replace(trim(text, E' \n\t\r'), '|', '\|'), chr(10), ' ') || ' |  |'
+  ELSE '![Image](p' || turn || '.png)' END AS m FROM conversations)
+SELECT doc_id, md5(string_agg(m, chr(10) || chr(10) ORDER BY turn) FILTER (m <> '')) AS markdown_md5 FROM b GROUP BY doc_id
+"""
+)
+def l19_blocks_markdown(spark, folder):
+    """Every conversation as a page of paragraphs, lists, tables and images, as Markdown."""
+    t = F.col("turn")
+    place = [t.cast("double").alias("x"), (t * 100).cast("double").alias("y"), F.lit(100.0).alias("w"), F.lit(10.0).alias("h")]
+    boxed = lambda value: F.struct(*place, value.alias("text"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("paragraph", "list", "table", "image")]), (t % 4 + 1).cast("int"))
+    blocks = table(spark, folder, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.lit(0).alias("page"), t.alias("seq"), kind.alias("kind"), *place, "text", F.concat(F.lit("p"), t.cast("string"), F.lit(".png")).alias("source"), (F.col("conv_id") % 2 == 1).alias("ordered"),
+        F.array(boxed(F.col("text"))).alias("lines"),
+        F.transform(F.split("text", "\n"), lambda x: F.struct(*place, x.alias("text"), F.lit(None).cast("string").alias("marker"))).alias("items"),
+        F.array(F.array(boxed(F.col("role")), boxed(t.cast("string"))), F.array(boxed(F.col("text")))).alias("rows"),
+    )
+    return layout.blocks_markdown(blocks).select("doc_id", F.md5("markdown").alias("markdown_md5"))
+
+
+def _page_units(spark, folder) -> DataFrame:
+    return _fragments(spark, folder).select("doc_id", "page", "seq", *[(F.col(c) * 1000).alias(c) for c in "xywh"], "text")
+
+
+@query()
+def l8_composed_blocks(spark, folder):
+    """Fragments as lines of a page taken up by every third fragment as a paragraph of triple height; the others attached or alone."""
+    lines = _page_units(spark, folder)
+    blocks = lines.where("seq % 3 = 0").withColumn("h", 3 * F.col("h")).withColumn("kind", F.lit("paragraph"))
+    return layout.composed(lines, blocks).select("doc_id", "page", "seq", "kind", "x", "y", "w", "h", F.md5("text").alias("text_md5"), "_error")
+
+
+@query()
+def l12_post_processed(spark, folder):
+    """Fragments as paragraphs of one line, put in order, merged, split and without repeats."""
+    lines = _page_units(spark, folder)
+    blocks = lines.withColumn("kind", F.lit("paragraph")).withColumn("lines", F.array(F.struct("x", "y", "w", "h", "text")))
+    return layout.post_processed(blocks).select("doc_id", "page", "seq", "kind", "x", "y", "w", "h", F.md5("text").alias("text_md5"), "_error")
+
+
 # ---- files ----
 
 
+@query("SELECT doc_id, md5(text) AS markdown_md5, octet_length(encode(text)) AS n_bytes FROM documents")
+def k1_markdown_files(spark, folder):
+    """Every document as the bytes of a Markdown file."""
+    from docloom.sinks.files import to_plain
+
+    return to_plain(table(spark, folder, "documents"), "markdown").select("doc_id", F.md5("content").alias("markdown_md5"), F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+@query("SELECT 'd/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' ELSE '.bin' END AS path, CASE WHEN doc_id % 3 < 2 THEN md5(text) END AS text_md5 FROM documents")
+def s27_dispatched(spark, folder):
+    """Every document as a file of three endings, through the reader of its format."""
+    from docloom.sources.tables import as_text
+
+    n = F.col("doc_id") % 3
+    ending, kind = F.when(n == 0, ".txt").when(n == 1, ".md").otherwise(".bin"), F.when(n == 0, "text").when(n == 1, "markdown")
+    files = table(spark, folder, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), ending).alias("path"), kind.alias("format"), F.encode("text", "UTF-8").alias("content"))
+    return as_text(files).select("path", F.md5("text").alias("text_md5"))
+
+
 @query()
 def k5_docx_round_trip(spark, folder):
     """Every conversation written as a word-processor file and read back as Markdown."""
@@ -587,11 +660,17 @@ def h5_collapsed(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.md5(T.collapsed("text")).alias("text_md5"))
 
 
-@query("SELECT conv_id AS doc_id, turn AS seq, md5(CASE role WHEN 'user' THEN '**' || text || '**' WHEN 'assistant' THEN '~~*' || text || '*~~' ELSE text END) AS text_md5 FROM conversations WHERE text = trim(text) AND NOT regexp_matches(text, '^\\s|\\s$') AND text <> ''")
+@query(
+    r"""
+WITH t AS (SELECT conv_id AS doc_id, turn AS seq, role, repeat(' ', (turn % 3)::INT) || text || CASE WHEN turn % 2 = 1 THEN E' \n' ELSE '' END AS x FROM conversations),
+p AS (SELECT *, regexp_extract(x, '^\s*') AS lead, regexp_extract(x, '\s*$') AS tail, regexp_replace(x, '^\s+|\s+$', '', 'g') AS body FROM t)
+SELECT doc_id, seq, md5(CASE WHEN body = '' THEN x WHEN role = 'user' THEN lead || '**' || body || '**' || tail WHEN role = 'assistant' THEN lead || '~~*' || body || '*~~' || tail ELSE x END) AS text_md5 FROM p
+"""
+)
 def d3_run_markdown(spark, folder):
-    """Turns as styled runs, marked up."""
-    rows = _turns(spark, folder).where("text = trim(text) and not text rlike '^\\\\s|\\\\s$' and text <> ''")
-    assistant = F.col("role") == "assistant"
+    """Turns as styled runs with blanks around some, marked up; the blanks stay outside the marks."""
+    pad = F.concat(F.repeat(F.lit(" "), (F.col("seq") % 3).cast("int")), "text", F.when(F.col("seq") % 2 == 1, " \n").otherwise(""))
+    rows, assistant = _turns(spark, folder).withColumn("text", pad), F.col("role") == "assistant"
     return rows.select("doc_id", "seq", F.md5(T.run_markdown("text", F.col("role") == "user", assistant, assistant)).alias("text_md5"))
 
 
@@ -653,11 +732,11 @@ def k17_slides(spark, folder):
     return paragraphs.slides(rows).select("doc_id", "idx", "title", "notes")
 
 
-@query("SELECT * FROM (VALUES (1, 'a/x.png', 'x.png'), (1, 'b/x.png', 'x-2.png'), (1, 'c/y.png?q', 'y.png')) AS t(page_id, src, name)")
+@query("SELECT page_id, src, name FROM pages, (VALUES (1, 'a/x.png', 'x.png'), (2, 'b/x.png', 'x-2.png')) AS t(seq, src, name) UNION ALL SELECT page_id, 'c/' || page_id || '.png?q', page_id || '.png' FROM pages")
 def k2_saved_names(spark, folder):
-    """Unique file names of a page's images."""
-    images = spark.createDataFrame([(1, 1, "a/x.png"), (1, 2, "b/x.png"), (1, 3, "a/x.png"), (1, 4, "c/y.png?q")], "page_id int, seq int, src string")
-    return html.saved_image_names(images)
+    """Unique file names of images on every page."""
+    sources = F.array(F.lit("a/x.png"), F.lit("b/x.png"), F.lit("a/x.png"), F.concat(F.lit("c/"), F.col("page_id").cast("string"), F.lit(".png?q")))
+    return html.saved_image_names(table(spark, folder, "pages").select("page_id", F.posexplode(sources).alias("seq", "src")))
 
 
 _TABLES = [
@@ -668,57 +747,88 @@ _TABLES = [
 ]
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, false), (2, true), (2, false), (3, true), (4, true)) AS t(page_id, is_layout)")
+@query(
+    """
+SELECT page_id, t.seq::BIGINT AS seq, is_layout FROM pages, (VALUES (0, 1, false), (1, 1, true), (1, 2, false), (2, 1, true), (3, 1, true), (4, 1, false), (4, 2, true)) AS t(kind, seq, is_layout) WHERE page_id % 5 = kind
+"""
+)
 def h13_table_kinds(spark, folder):
-    """Which tables of a small fixture only arrange."""
-    nodes = html.dom_nodes(spark.createDataFrame(_TABLES, "page_id long, html string"), base=None)
-    return html.table_kinds(nodes).select("page_id", "is_layout")
+    """Which tables only arrange: a table of each kind before every page's own content."""
+    cells = ["<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>"]
+    cells.append("<table><tbody><tr><td><table><tr><td>x</td><td>y</td></tr><tr><td>x</td><td>y</td></tr></table></td><td>z</td></tr><tr><td>1</td><td>2</td></tr></tbody></table>")
+    cells.append("<table><tr><td>r</td></tr><tr><td>s</td></tr></table>")
+    cells.append("<table><tr><td><img src=a></td><td>with words <img src=b></td></tr><tr><td><img src=c></td><td>t</td></tr></table>")
+    cells.append("<table><tr><td><b>x</b><img src=a></td><td>b</td></tr><tr><td><pre>c</pre><blockquote>c</blockquote><p>c</p></td><td>t</td></tr></table><table><tr><td>only</td><td>row</td></tr></table>")
+    lead = F.element_at(F.array(*[F.lit(c) for c in cells]), (F.col("page_id") % 5 + 1).cast("int"))
+    nodes = html.dom_nodes(table(spark, folder, "pages").select("page_id", F.concat(F.lit("<body>"), lead, "html").alias("html")), base=None)
+    kinds = html.table_kinds(nodes)
+    from pyspark.sql.window import Window
 
+    return kinds.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("table_id")).cast("long").alias("seq"), "is_layout")
 
-@query("SELECT 1::BIGINT AS page_id, count(*) AS n_pairs FROM (VALUES (1), (2))")
+
+@query("SELECT page_id, page_id % 4 AS n_pairs FROM pages WHERE page_id % 4 > 0")
 def h21_footnote_pairs(spark, folder):
-    """References whose definition links back, in a small fixture."""
-    page = '<p>x<a href="#n1" id="r1">1</a> y<a href="#n2" id="r2">2</a> <a href="#top">t</a></p><ol id="top"><li id="n1">a <a href="#r1">b</a></li><li id="n2">c <a href="#r2">b</a></li></ol>'
-    nodes = html.dom_nodes(spark.createDataFrame([(1, page)], "page_id long, html string"), base=None)
+    """References whose definition links back: some notes on every page, and links that do not come back."""
+    n = (F.col("page_id") % 4).cast("int")
+    ks = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.expr("cast(array() as array<int>)"))
+    put = lambda form: F.array_join(F.transform(ks, lambda k: F.replace(F.lit(form), F.lit("#K"), k.cast("string"))), "")
+    notes = F.concat(F.lit("<p>x"), put('<a href="#n#K" id="r#K">1</a>'), F.lit(' <a href="#top">t</a></p><ol id="top">'), put('<li id="n#K">a <a href="#r#K">b</a></li>'), F.lit("</ol>"))
+    nodes = html.dom_nodes(table(spark, folder, "pages").select("page_id", F.concat(notes, "html").alias("html")), base=None)
     return html.footnote_pairs(nodes).groupBy("page_id").agg(F.count_distinct("ref_id").alias("n_pairs"))
 
 
-@query("SELECT * FROM (VALUES (1, 'é'), (2, 'é'), (3, NULL)) AS t(id, text)")
+@query("SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN md5(text) END AS text_md5 FROM documents")
 def s5_decoded(spark, folder):
-    """Bytes under their declared charsets."""
-    rows = spark.createDataFrame([(1, b"\xe9", "Latin1"), (2, b"\xc3\xa9", "utf-8"), (3, b"x", "unknown")], "id int, b binary, l string")
-    return rows.select("id", T.decoded("b", "l").alias("text"))
+    """Every text as bytes, under declared charsets in several spellings, one of them unknown."""
+    n = F.col("doc_id") % 4
+    data = F.when(n == 0, F.encode("text", "UTF-8")).when(n == 1, F.encode("text", "UTF-16BE")).when(n == 2, F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-8"))
+    label = F.when(n == 0, "UTF_8").when(n == 1, " utf-16be ").when(n == 2, "'Utf8'").otherwise("unknown")
+    return table(spark, folder, "documents").select("doc_id", F.md5(T.decoded(data, label)).alias("text_md5"))
+
 
+_STYLES = [("Subtitle", None, 2), ("Title", None, 1), ("heading 4", None, 4), ("Body", 2, 3), ("My Subheading", None, 3), ("Plain", None, None)]
+_OLD_STYLES = [("Titel", 1), ("Überschrift 2", 2), ("Heading", 1), ("Text", None)]
 
-@query("SELECT * FROM (VALUES ('Subtitle', 2), ('Title', 1), ('heading 4', 4), ('Body', 3), ('My Subheading', 3)) AS t(name, level)")
+
+def _cases(values, by: str) -> str:
+    """SQL of the value that a row's number picks."""
+    text = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    return f"CASE {by} % {len(values)} " + " ".join(f"WHEN {i} THEN {text(v)}" for i, v in enumerate(values)) + " END"
+
+
+@query(f"SELECT doc_id, {_cases([s[2] for s in _STYLES], 'doc_id')} AS level FROM documents")
 def d4_heading_levels(spark, folder):
-    """Heading levels of style names."""
-    rows = spark.createDataFrame([("Subtitle", None), ("Title", None), ("heading 4", None), ("Body", 2), ("My Subheading", None)], "name string, outline int")
-    return rows.select("name", T.heading_level("name", F.col("outline")).alias("level"))
+    """Heading levels of style names, one for every document."""
+    name, outline = F.expr(_cases([s[0] for s in _STYLES], "doc_id")), F.expr(_cases([s[1] for s in _STYLES], "doc_id"))
+    return table(spark, folder, "documents").select("doc_id", T.heading_level(name, outline.cast("int")).alias("level"))
 
 
-@query("SELECT * FROM (VALUES ('Titel', 1), ('Überschrift 2', 2), ('Heading', 1), ('Text', NULL)) AS t(name, level)")
+@query(f"SELECT doc_id, {_cases([s[1] for s in _OLD_STYLES], 'doc_id')} AS level FROM documents")
 def p17_legacy_headings(spark, folder):
-    """Heading levels of older style names."""
-    rows = spark.createDataFrame([("Titel",), ("Überschrift 2",), ("Heading",), ("Text",)], "name string")
-    return rows.select("name", T.legacy_heading("name").alias("level"))
+    """Heading levels of older style names, one for every document."""
+    return table(spark, folder, "documents").select("doc_id", T.legacy_heading(F.expr(_cases([s[0] for s in _OLD_STYLES], "doc_id"))).alias("level"))
 
 
-@query("SELECT * FROM (VALUES (1, 640, 480), (2, 30, 20), (3, NULL, NULL)) AS t(path, width, height)")
+@query("SELECT doc_id AS path, CASE doc_id % 3 WHEN 2 THEN NULL ELSE (doc_id % 4000 + 1)::INT END AS width, CASE doc_id % 3 WHEN 2 THEN NULL ELSE (n_chars % 3000 + 1)::INT END AS height FROM documents")
 def s28_image_sizes(spark, folder):
-    """Sizes from image headers."""
-    import struct
-
+    """Sizes from image headers of two formats and from bytes that are neither."""
     from docloom.sources.office import image_sizes
 
-    data = [(1, b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">II", 640, 480)), (2, b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08" + struct.pack(">HH", 20, 30) + bytes(9)), (3, b"none")]
-    return image_sizes(spark.createDataFrame(data, "path int, content binary")).select("path", "width", "height")
+    wide, high = (F.col("doc_id") % 4000 + 1).cast("int"), (F.col("n_chars") % 3000 + 1).cast("int")
+    digits = lambda v, n: F.lpad(F.hex(v), n, "0")
+    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), digits(wide, 8), digits(high, 8)))
+    jpeg = F.unhex(F.concat(F.lit("FFD8FFE000046162FFC0001108"), digits(high, 4), digits(wide, 4), F.lit("00" * 9)))
+    data = F.when(F.col("doc_id") % 3 == 0, png).when(F.col("doc_id") % 3 == 1, jpeg).otherwise(F.encode("lang", "UTF-8"))
+    return image_sizes(table(spark, folder, "documents").select(F.col("doc_id").alias("path"), data.alias("content"))).select("path", "width", "height")
 
 
-@query("SELECT 1 AS path, 'Hi' AS subject, '<p>café!</p>' AS html")
+@query("SELECT doc_id AS path, lang || ' ' || doc_id AS subject, '<p>café ' || doc_id || '!</p>' AS html FROM documents")
 def s26_emails(spark, folder):
-    """HTML parts of e-mails."""
+    """HTML parts of an e-mail for every document."""
     from docloom.sources.office import emails
 
-    raw = b'Subject: Hi\r\nMIME-Version: 1.0\r\nContent-Type: multipart/alternative; boundary="b"\r\n\r\n--b\r\nContent-Type: text/plain\r\n\r\nplain\r\n--b\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n<p>caf=C3=A9=\r\n!</p>\r\n--b--\r\n'
-    return emails(spark.createDataFrame([(1, raw)], "path int, content binary")).select("path", "subject", F.trim(F.regexp_replace("html", r"\s+$", "")).alias("html"))
+    head = F.concat(F.lit("Subject: "), "lang", F.lit(" "), F.col("doc_id").cast("string"), F.lit('\r\nMIME-Version: 1.0\r\nContent-Type: multipart/alternative; boundary="b"\r\n\r\n--b\r\nContent-Type: text/plain\r\n\r\nplain\r\n'))
+    part = F.concat(F.lit("--b\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n<p>caf=C3=A9 "), F.col("doc_id").cast("string"), F.lit("=\r\n!</p>\r\n--b--\r\n"))
+    raw = F.encode(F.concat(head, part), "UTF-8")
+    return emails(table(spark, folder, "documents").select(F.col("doc_id").alias("path"), raw.alias("content"))).select("path", "subject", F.regexp_replace("html", r"\s+$", "").alias("html"))

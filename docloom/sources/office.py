@@ -66,7 +66,7 @@ def docx_markdown(files: DataFrame) -> DataFrame:
     from docloom.functions.text import four_space_tabs, heading_level
 
     runs = docx_runs(files).where("_error is null")
-    marks = runs.where("note_id is not null").select(F.col("path").alias("doc_id"), (F.col("para") * 100000 + F.col("seq")).alias("seq"), "note_id")
+    marks = runs.where("note_id is not null").select(F.col("path").alias("doc_id"), F.struct("para", "seq").alias("seq"), "note_id")
     numbers = paragraphs.footnote_numbers(marks).withColumnRenamed("doc_id", "path")
     runs = runs.join(numbers, ["path", "note_id"], "left").withColumn("footnote", F.col("number"))
     texts = paragraphs.paragraph_texts(runs, ["path", "para"])
