@@ -164,8 +164,16 @@ class Converter:
         parts = [self.tree.text[j] if self.tree.kind[j] == TEXT else "\n" if self.tree.tag[j] == "br" else "" for j in range(i + 1, self.tree.end[i]) if self.tree.kind[j] != RAW]
         return "".join(parts).strip("\n")
 
+    def _only_child(self, i: int) -> int | None:
+        """The child of a plain element that holds nothing else; deep wrappers are walked, not recursed into."""
+        tree = self.tree
+        special = tree.kind[i] != ELEMENT or i in self.gone or i in self.notes.label or tree.tag[i] in SKIP or tree.tag[i] in MARKS or tree.tag[i] in ("br", "img", "code", "a")
+        return i + 1 if not special and i + 1 < tree.end[i] == tree.end[i + 1] else None
+
     def inline(self, i: int) -> str:
         tree = self.tree
+        while (inner := self._only_child(i)) is not None:
+            i = inner
         if tree.kind[i] == RAW or i in self.gone:
             return ""
         if tree.kind[i] == TEXT:

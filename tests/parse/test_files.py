@@ -54,11 +54,11 @@ def test_numbers():
 
 def test_page_paragraphs():
     runs = sub(1, num(1, 0) + sub(2, num(1, 100))) + sub(1, num(1, 12) + sub(2, num(1, 101)))
-    body = num(1, 0) + sub(3, "Big Heading\nNormal one.\nNormal two.".encode()) + sub(5, runs)
+    body = num(1, 0) + sub(3, "Tide Tables\nHigh water at nine.\nLow water at three.".encode()) + sub(5, runs)
     size = lambda v: vint(3 << 3 | 5) + struct.pack("<f", v)
-    styles = [(100, 2022, sub(11, num(1, 1) + size(28))), (101, 2022, sub(1, sub(3, num(1, 102)))), (102, 2022, sub(11, size(12)))]
+    styles = [(100, 2022, sub(11, num(1, 1) + size(24))), (101, 2022, sub(1, sub(3, num(1, 102)))), (102, 2022, sub(11, size(11)))]
     got = list(iwork.page_paragraphs(bundle(("Document", archive((1, 2001, body))), ("Styles", archive(*styles)))))
-    assert [(r["text"], r["font_size"], r["bold"]) for r in got] == [("Big Heading", 28.0, True), ("Normal one.", 12.0, False), ("Normal two.", 12.0, False)]
+    assert [(r["text"], r["font_size"], r["bold"]) for r in got] == [("Tide Tables", 24.0, True), ("High water at nine.", 11.0, False), ("Low water at three.", 11.0, False)]
 
 
 def test_sheet_over_two_tiles():

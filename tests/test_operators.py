@@ -150,3 +150,36 @@ def test_reachable_over_long_chains(spark):
     edges = spark.createDataFrame([(1, i, i + 1) for i in range(66)] + [(1, 66, 60)], "doc_id int, src int, dst int")
     got = joins.reachable(edges, spark.createDataFrame([(1, 0)], "doc_id int, id int"))
     assert sorted(r["id"] for r in got.collect()) == list(range(67))
+
+
+def test_numbered_beyond_nine_levels(spark):
+    items = spark.createDataFrame([(1, 1, 1, 11, True), (1, 2, 1, 11, True), (1, 3, 1, 10, True), (1, 4, 1, 11, True), (1, 5, None, None, None)], "doc_id int, seq int, num_id int, level int, ordered boolean").withColumn("start", F.lit(1))
+    assert sorted(rows(paragraphs.numbered(items), "seq", "number"), key=str) == [(1, 1), (2, 2), (3, 1), (4, 1), (5, None)]
+
+
+def test_gap_split_takes_the_taller_line_and_breaks_ties(spark):
+    lines = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 1.0, 0.1, "a"), (1, 0, 2, 0.0, 0.17, 1.0, 0.05, "b"), (1, 0, 2, 0.0, 0.3, 1.0, 0.05, "c")], "doc_id int, page int, seq int, x double, y double, w double, h double, text string")
+    assert sorted(rows(layout.split_by_gap(lines), "text", "paragraph")) == [("a", 0), ("b", 0), ("c", 1)]
+
+
+def test_files_by_format(spark, tmp_path):
+    from docloom.sinks.files import save, to_plain
+    from docloom.sources.tables import as_text, decoded, files
+
+    docs = spark.createDataFrame([(1, "# Eel **one**"), (2, None)], "doc_id long, text string")
+    for kind, ending in (("text", ".txt"), ("markdown", ".md"), ("json", ".json")):
+        assert save(to_plain(docs, kind), f"file://{tmp_path}/{kind}", ending).count() == 2
+    got = {r["path"].rsplit("/", 2)[1] + "/" + r["path"].rsplit("/", 1)[1]: r["text"] for r in as_text(files(spark, str(tmp_path))).collect()}
+    assert got["markdown/1.md"] == "# Eel **one**" and got["text/1.txt"] == "Eel one" and got["json/1.json"] is None
+    odd = spark.createDataFrame([("a", "é".encode("cp1252"), "'Windows_1252'"), ("b", "日".encode("shift_jis"), "SJIS"), ("c", "é".encode(), None), ("d", b"x", "klingon"), ("e", b"\xff", "utf-8")], "path string, content binary, charset string")
+    assert {r["path"]: r["text"] for r in decoded(odd).collect()} == {"a": "é", "b": "日", "c": "é", "d": None, "e": None}
+
+
+def test_sanitized_paths_agree(spark):
+    from docloom.functions.sanitize import sanitize, sanitized
+
+    texts = ["plain é text", "", None, "a\r\nb", "e\u0301", "x" + "\u0301" * 40, "\u202eabc", "日本"]
+    got = {r["doc_id"]: r for r in sanitized(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    for i, t in enumerate(texts):
+        want = sanitize(t)
+        assert {k: got[i][k] for k in want} == want
