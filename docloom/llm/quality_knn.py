@@ -114,8 +114,9 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "quality", sa
     idf = (np.log((1 + len(got)) / (1 + np.bincount(bucket, minlength=BUCKETS))) + 1).astype(np.float32)
     x = np.zeros((len(got), BUCKETS), dtype=np.float32)
     x[row, bucket] = np.log1p(n) * idf[bucket]
-    weights = (_axes(_unit(x), RANK) * idf[:, None]).astype(np.float32)
-    return weights, _project(row, bucket, n, len(got), weights), y
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    axes = _axes(x, RANK)
+    return (axes * idf[:, None]).astype(np.float32), _unit(x @ axes), y
 
 
 def vote(latent: np.ndarray, bank: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
