@@ -211,3 +211,40 @@ def print_document(fragment: Column | str, title: Column | str, paper: str = "A4
     if break_level:
         rules += f" h{break_level} {{ break-before: page; }} h{break_level}:first-of-type {{ break-before: auto; }}"
     return html_document(fragment, title, f"{rules} {css}".strip())
+
+
+def percent_decoded(text: Column | str) -> Column:
+    """Percent escapes decoded as UTF-8; a text with a broken escape stays as it is."""
+    t = _c(text)
+    # a plus is a plus here, not a blank
+    return F.coalesce(F.try_url_decode(F.replace(t, F.lit("+"), F.lit("%2B"))), t)
+
+
+def data_text(uri: Column | str) -> Column:
+    """The text of a ``data:`` address, percent-escaped or Base64; null for any other and for broken Base64."""
+    u = _c(uri)
+    meta, body = F.lower(F.regexp_extract(u, r"^([^,]*),", 1)), F.regexp_extract(u, r"(?s)^[^,]*,(.*)$", 1)
+    whole = u.rlike("(?i)^data:[^,]*,")
+    return F.when(whole & meta.contains(";base64"), F.decode(F.try_to_binary(body, F.lit("base64")), "UTF-8")).when(whole, percent_decoded(body))
+
+
+def first_strong_direction(text: Column | str) -> Column:
+    """``rtl`` or ``ltr`` by the first letter with a direction (Hebrew and Arabic scripts run right to left), or null."""
+    first = F.regexp_extract(_c(text), r"(\p{L})", 1)
+    return F.when(first == "", F.lit(None)).when(first.rlike(r"[\x{0590}-\x{08FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}]"), "rtl").otherwise("ltr")
+
+
+def css_color(value: Column | str) -> Column:
+    """struct<r, g, b, a> (0 to 1) of a hexadecimal or rgb()/rgba() colour, or null."""
+    v = F.lower(F.trim(_c(value)))
+    digits = F.regexp_extract(v, r"^#([0-9a-f]{3,8})$", 1)
+    long = F.when(F.length(digits).isin(3, 4), F.regexp_replace(digits, "(.)", "$1$1")).when(F.length(digits).isin(6, 8), digits)
+    channel = lambda i: F.conv(F.substring(long, 2 * i + 1, 2), 16, 10).cast("double") / 255
+    by_hex = F.struct(*[channel(i).alias(n) for i, n in enumerate("rgb")], F.when(F.length(long) == 8, channel(3)).otherwise(1.0).alias("a"))
+    args = F.split(F.regexp_extract(v, r"^rgba?\(\s*([^()]*?)\s*\)$", 1), r"\s*,\s*")
+    number = lambda i: F.regexp_extract(F.get(args, F.lit(i)), r"^([0-9]*\.?[0-9]+)%?$", 1).try_cast("double")
+    part = lambda i: F.least(F.when(F.get(args, F.lit(i)).endswith("%"), number(i) / 100).otherwise(number(i) / 255), F.lit(1.0))
+    alpha = F.when(F.size(args) >= 4, F.least(number(3), F.lit(1.0))).otherwise(1.0)
+    by_call = F.struct(part(0).alias("r"), part(1).alias("g"), part(2).alias("b"), alpha.alias("a"))
+    good = (F.size(args) >= 3) & number(0).isNotNull() & number(1).isNotNull() & number(2).isNotNull()
+    return F.when(long.isNotNull() & (digits != ""), by_hex).when(good, by_call)

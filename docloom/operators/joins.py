@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.sources.folders import shared_folder
+
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, *, since: str | None = None) -> DataFrame:
     """Adds ``value`` of the last right row at or before each left row.
@@ -25,6 +27,29 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: st
     return rows.select("_row.*", *out)
 
 
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """Adds ``value`` and ``distance`` of the right row nearest to each left row; of two as near, the one before it.
+
+    A union and a running window in both directions, no inequality join.
+    """
+    a = left.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_value"), F.struct(*left.columns).alias("_row"))
+    b = right.select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_value"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
+    other = F.when(F.col("_side") == 0, F.struct(F.col("_at").alias("at"), F.col("_value").alias("v")))
+    window = Window.partitionBy(*keys).orderBy("_at", "_side", "_value")
+    before = F.last(other, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(other, ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing))
+    rows = a.unionByName(b).withColumn("_before", before).withColumn("_after", after).where("_side = 1")
+    back, ahead = F.col("_at") - F.col("_before.at"), F.col("_after.at") - F.col("_at")
+    first = F.col("_after").isNull() | (F.coalesce(back <= ahead, F.lit(False)))
+    return rows.select("_row.*", F.when(first, F.col("_before.v")).otherwise(F.col("_after.v")).alias(value), F.when(first, back).otherwise(ahead).alias("distance"))
+
+
+def top_k(rows: DataFrame, keys: list[str], k: int, score: list[Column], order: list[str]) -> DataFrame:
+    """The ``k`` best rows of each key by ``score``, numbered anew (``place``) in their own order."""
+    best = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*score))).where(F.col("_rank") <= k).drop("_rank")
+    return best.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def clipped(spans: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
     """Half-open spans (keys, start, end, ...) cut to parts (keys, part, part_start, part_end) and counted from the part's start; the keys keep it a hash join."""
     both = spans.join(parts, keys).where("start < part_end and end > part_start")
@@ -53,13 +78,7 @@ def reachable(edges: DataFrame, roots: DataFrame, *, doc: str = "doc_id") -> Dat
     stays short and a lost executor costs a re-read.
     """
     spark = edges.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="docloom-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    base = f"{folder.rstrip('/')}/docloom/reach-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/docloom/reach-{uuid.uuid4().hex}"
     roots.select(doc, "id").distinct().write.parquet(f"{base}/round=0")
     schema = roots.select(doc, "id").schema
     frontier = spark.read.schema(schema).parquet(f"{base}/round=0")

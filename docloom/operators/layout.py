@@ -149,6 +149,35 @@ def blocks_markdown(blocks: DataFrame) -> DataFrame:
     return rowwise(_blocks(blocks), run, ["blocks"], "markdown string", PAGE)
 
 
+def split_by_char_gap(chars: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, fragment, text, x, y, w, h): characters (keys, seq, ch, x, y, w, h) gathered to fragments.
+
+    A new one begins after white space where the gap is over 1.5 of the mean
+    width, 0.6 of the mean height and 4; widths count up to 3 heights (at
+    least 12).  Lags and a running sum, no recognition.
+    """
+    order = Window.partitionBy(*keys).orderBy("seq")
+    rows = chars.withColumn("_blank", F.col("ch").rlike(r"^\s*$"))
+    rows = rows.withColumn("_spaced", F.coalesce(F.lag("_blank").over(order), F.lit(False)))
+    boxed = ~F.col("_blank") & (F.col("w") > 0) & (F.col("h") > 0)
+    before = F.last(F.when(boxed, F.struct("x", "w", "h")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_b", before)
+    tall = F.greatest((F.col("_b.h") + F.col("h")) / 2, F.lit(1.0))
+    limit = F.greatest(3 * tall, F.lit(12.0))
+    own, last = F.least("w", limit), F.least("_b.w", limit)
+    gap = F.col("x") - (F.col("_b.x") + last)
+    cut = boxed & F.col("_spaced") & (gap > F.greatest(1.5 * F.greatest((own + last) / 2, F.lit(1.0)), 0.6 * tall, F.lit(4.0)))
+    rows = rows.withColumn("_cut", F.coalesce(cut.cast("int"), F.lit(0))).withColumn("_part", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = lambda c: F.when(boxed, c)
+    parts = rows.groupBy(*keys, "_part").agg(
+        F.trim(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "ch"))), lambda c: c["ch"]), ""), r"^\s+|\s+$", "")).alias("text"),
+        F.min(seen(F.col("x"))).alias("x"), F.min(seen(F.col("y"))).alias("y"), F.max(seen(F.col("x") + F.col("w"))).alias("_r"), F.max(seen(F.col("y") + F.col("h"))).alias("_d"),
+    )
+    parts = parts.where("text <> '' and x is not null")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_part"))
+    return parts.select(*keys, number.alias("fragment"), "text", "x", "y", (F.col("_r") - F.col("x")).alias("w"), (F.col("_d") - F.col("y")).alias("h"))
+
+
 def first_lines(page_lines: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Lines without repeats: the first of each comparable text; those without one drop."""
     keyed = page_lines.withColumn("_k", comparable_text(text)).where("_k <> ''")

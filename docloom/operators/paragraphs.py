@@ -109,3 +109,40 @@ def deck_markdown(slides: DataFrame, deck: str = "doc_id") -> DataFrame:
     parts = F.filter(F.array(title, F.when(F.size(body) > 0, F.array_join(body, "\n")), F.array_join(notes, "\n")), lambda x: x.isNotNull())
     one = slides.withColumn("md", F.array_join(parts, "\n\n"))
     return one.groupBy(deck).agg(_joined(F.struct(F.col("idx").alias("seq"), F.col("md").alias("value")), "\n\n").alias("markdown"))
+
+
+def plain_lists(items: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, text): paragraphs as plain text with the markers that a page shows, four blanks a level, empty lines between; rows (doc, seq, text, level, ordered)."""
+    body = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    rows = numbered_strict(items.withColumn("_body", body).withColumn("is_empty", F.col("_body") == "").withColumn("is_code", F.lit(False)), doc)
+    mark = F.when(F.col("number").isNotNull(), F.concat(F.col("number").cast("string"), F.lit(". "))).otherwise("• ")
+    value = F.when(F.col("level").isNull(), F.col("_body")).otherwise(F.concat(F.repeat(F.lit("    "), F.col("level").cast("int")), mark, "_body"))
+    return rows.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", value.alias("v")))), lambda x: x["v"]), "\n\n").alias("text"))
+
+
+def style_headings(styles: DataFrame, doc: str = "doc_id", code: str = "code-block") -> DataFrame:
+    """(doc, style_id, heading, is_code) from the identifier of the nearest style that has one; rows (doc, style_id, parent_id, identifier)."""
+    from docloom.operators.joins import inherited
+
+    name = F.regexp_extract(F.coalesce("identifier", F.lit("")), r"paragraphstyle-(.*)$", 1)
+    digits = F.regexp_extract(name, r"^Heading ([0-9]{1,9})$", 1)
+    level = F.when((name == "Title") | (name == "Heading"), 1).when(digits != "", F.greatest(F.least(F.try_to_number(digits, F.lit("999999999")).cast("int"), F.lit(6)), F.lit(1)))
+    return inherited(styles, ["identifier"], doc=doc).select(doc, "style_id", level.cast("int").alias("heading"), F.coalesce(F.col("identifier").endswith(code), F.lit(False)).alias("is_code"))
+
+
+def list_members(paragraphs: DataFrame, levels: DataFrame, list_styles: DataFrame, styles: DataFrame, doc: str = "doc_id", ordered_kind: int = 2) -> DataFrame:
+    """(doc, seq, level, ordered): whether a paragraph at ``at`` is a list item.
+
+    The list style and the level in force there are as-of joins over runs
+    (doc, at, style_id) and (doc, at, level); ``styles`` has (doc, style_id,
+    parent_id, markers array<int>), markers by level from the nearest style
+    that has any: 0 is no list, ``ordered_kind`` a number, others a bullet.
+    """
+    from docloom.operators.joins import as_of, inherited
+
+    rows = as_of(as_of(paragraphs.select(doc, "seq", "at"), list_styles, [doc], "at", "style_id"), levels, [doc], "at", "level")
+    own = inherited(styles, ["markers"], doc=doc).select(doc, "style_id", "markers")
+    rows = rows.join(own, [doc, "style_id"], "left").withColumn("level", F.greatest(F.coalesce("level", F.lit(0)), F.lit(0)))
+    marker = F.get("markers", F.least(F.col("level"), F.size("markers") - 1).cast("int"))
+    listed = F.coalesce(marker != 0, F.lit(False))
+    return rows.select(doc, "seq", F.when(listed, F.col("level")).alias("level"), (listed & (marker == ordered_kind)).alias("ordered"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import html, joins, layout, markdown, paragraphs, tables
+from docloom.sources.folders import shared_folder
 from docloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -631,13 +632,7 @@ def t_stream_of_texts(spark, folder):
 
     from docloom.streaming import streams
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="docloom-"))
-        base = spark.sparkContext.getCheckpointDir()
-    base = f"{base.rstrip('/')}/docloom/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/docloom/stream-{uuid.uuid4().hex}"
     path = f"{folder}/documents.parquet"
     schema = spark.read.parquet(path).schema
     stream = streams.table(spark, path if not path.endswith(".parquet") else f"{folder}/documents.parquet*", schema)
@@ -832,3 +827,114 @@ def s26_emails(spark, folder):
     part = F.concat(F.lit("--b\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n<p>caf=C3=A9 "), F.col("doc_id").cast("string"), F.lit("=\r\n!</p>\r\n--b--\r\n"))
     raw = F.encode(F.concat(head, part), "UTF-8")
     return emails(table(spark, folder, "documents").select(F.col("doc_id").alias("path"), raw.alias("content"))).select("path", "subject", F.regexp_replace("html", r"\s+$", "").alias("html"))
+
+
+# ---- nearest, top-k, character gaps, page lists, addresses, colours ----
+
+
+@query(
+    """
+WITH l AS (SELECT o_custkey, o_orderkey, o_totalprice AS at FROM orders), r AS (SELECT o_custkey, o_totalprice AS at, o_orderkey AS other FROM orders WHERE o_orderkey % 3 = 0)
+SELECT o_custkey, o_orderkey, other, distance FROM (
+  SELECT l.o_custkey, l.o_orderkey, r.other, abs(l.at - r.at) AS distance, row_number() OVER (PARTITION BY l.o_custkey, l.o_orderkey ORDER BY abs(l.at - r.at) NULLS LAST, r.at, r.other DESC) AS n
+  FROM l LEFT JOIN r ON r.o_custkey = l.o_custkey) WHERE n = 1
+"""
+)
+def j_nearest(spark, folder):
+    """For each order the customer's order with a number divisible by three that is nearest in price."""
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("at"))
+    right = orders.where("o_orderkey % 3 = 0").select("o_custkey", "at", F.col("o_orderkey").alias("other"))
+    return joins.nearest(orders, right, ["o_custkey"], "at", "other").select("o_custkey", "o_orderkey", "other", "distance")
+
+
+@query(
+    """
+SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3
+"""
+)
+def j_top_k(spark, folder):
+    """Each customer's three dearest orders, in order of their number."""
+    return joins.top_k(table(spark, folder, "orders"), ["o_custkey"], 3, [F.desc("o_totalprice"), F.col("o_orderkey")], ["o_orderkey"]).select("o_custkey", "o_orderkey", F.col("place").cast("long").alias("place"))
+
+
+@query(
+    """
+WITH t AS (SELECT conv_id, turn, substr(replace(text, chr(10), ' '), 1, 200) AS t FROM conversations),
+c AS (SELECT conv_id, turn, i AS seq, substr(t, i::INT, 1) AS ch, i * 5.0 + 40.0 * len(regexp_extract_all(substr(t, 1, i::INT - 1), 'e ')) AS x FROM (SELECT *, unnest(range(1, length(t) + 1)) AS i FROM t)),
+k AS (SELECT *, CASE WHEN ch <> ' ' AND lag(ch) OVER w = ' ' AND x - (max(CASE WHEN ch <> ' ' THEN x + 5 END) OVER (PARTITION BY conv_id, turn ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) > 7.5 THEN 1 ELSE 0 END AS cut FROM c WINDOW w AS (PARTITION BY conv_id, turn ORDER BY seq)),
+p AS (SELECT *, sum(cut) OVER (PARTITION BY conv_id, turn ORDER BY seq ROWS UNBOUNDED PRECEDING) AS part FROM k),
+f AS (SELECT conv_id, turn, part, trim(string_agg(ch, '' ORDER BY seq)) AS text, min(x) FILTER (ch <> ' ') AS x FROM p GROUP BY ALL)
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY part) AS fragment, md5(text) AS text_md5, x::DOUBLE AS x FROM f WHERE text <> ''
+"""
+)
+def l4_char_gaps(spark, folder):
+    """The first 200 characters of every turn as boxes, with a wide gap after each "e ", split there."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 200).alias("t")).where("length(t) > 0")
+    chars = turns.select("conv_id", "turn", "t", F.explode(F.sequence(F.lit(1), F.length("t"))).alias("seq"))
+    wide = F.size(F.regexp_extract_all(F.substring(F.col("t"), F.lit(1), F.col("seq") - 1), F.lit("e "), F.lit(0)))
+    chars = chars.select("conv_id", "turn", "seq", F.substring(F.col("t"), F.col("seq"), F.lit(1)).alias("ch"), (F.col("seq") * 5.0 + 40.0 * wide).alias("x"), F.lit(0.0).alias("y"), F.lit(5.0).alias("w"), F.lit(8.0).alias("h"))
+    return layout.split_by_char_gap(chars, ["conv_id", "turn"]).select("conv_id", "turn", F.col("fragment").cast("long").alias("fragment"), F.md5("text").alias("text_md5"), "x")
+
+
+@query(
+    """
+WITH i AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS b, CASE WHEN turn % 5 < 4 THEN (turn * 3) % 2 END AS level, role = 'user' AS ordered FROM conversations WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
+n AS (SELECT *, (SELECT count(*) FROM i o WHERE o.conv_id = i.conv_id AND o.ordered AND o.level = i.level AND o.turn <= i.turn
+  AND o.turn > coalesce((SELECT max(z.turn) FROM i z WHERE z.conv_id = i.conv_id AND z.turn < i.turn AND (z.level IS NULL OR z.level < i.level)), -1)) AS k FROM i)
+SELECT conv_id, md5(string_agg(CASE WHEN level IS NULL THEN b ELSE repeat('    ', level::INT) || CASE WHEN ordered THEN k || '. ' ELSE '• ' END || b END, chr(10) || chr(10) ORDER BY turn)) AS text_md5 FROM n GROUP BY conv_id
+"""
+)
+def p12_plain_lists(spark, folder):
+    """Conversations as pages of list items and paragraphs, as plain text with visible markers."""
+    items = table(spark, folder, "conversations").select("conv_id", F.col("turn").alias("seq"), "text", F.when(F.col("turn") % 5 < 4, ((F.col("turn") * 3) % 2).cast("int")).alias("level"), (F.col("role") == "user").alias("ordered"))
+    return paragraphs.plain_lists(items, "conv_id").select("conv_id", F.md5("text").alias("text_md5"))
+
+
+@query(
+    """
+WITH RECURSIVE s AS (SELECT c_nationkey AS doc_id, c_custkey AS style_id, CASE WHEN c_custkey % 4 > 0 THEN c_custkey - c_custkey % 4 END AS parent_id,
+    CASE WHEN c_custkey % 4 = 0 THEN 'text-1-paragraphstyle-' || CASE (c_custkey // 4) % 4 WHEN 0 THEN 'Title' WHEN 1 THEN 'Heading 9' WHEN 2 THEN 'Heading 2' ELSE 'Body' END WHEN c_custkey % 4 = 3 THEN 'own-code-block' END AS identifier FROM customer)
+SELECT a.doc_id, a.style_id, CASE regexp_extract(i, 'style-(.*)$', 1) WHEN 'Title' THEN 1 WHEN 'Heading 9' THEN 6 WHEN 'Heading 2' THEN 2 END AS heading, coalesce(i LIKE '%code-block', false) AS is_code
+FROM (SELECT s.*, coalesce(s.identifier, p.identifier) AS i FROM s LEFT JOIN s p ON p.doc_id = s.doc_id AND p.style_id = s.parent_id) a
+"""
+)
+def p6_style_headings(spark, folder):
+    """Headings and code by the identifier of a style or the nearest above it, over customers as styles."""
+    n = F.col("c_custkey") % 4
+    name = F.element_at(F.array(*[F.lit(x) for x in ("Title", "Heading 9", "Heading 2", "Body")]), (F.floor(F.col("c_custkey") / 4) % 4 + 1).cast("int"))
+    identifier = F.when(n == 0, F.concat(F.lit("text-1-paragraphstyle-"), name)).when(n == 3, "own-code-block")
+    styles = table(spark, folder, "customer").select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("style_id"), F.when(n > 0, F.col("c_custkey") - n).alias("parent_id"), identifier.alias("identifier"))
+    return paragraphs.style_headings(styles)
+
+
+@query(
+    """
+WITH p AS (SELECT conv_id AS doc_id, turn AS seq, turn * 10 AS at FROM conversations),
+r AS (SELECT conv_id AS doc_id, turn * 10 AS at, turn % 6 AS style_id FROM conversations WHERE turn % 2 = 0),
+l AS (SELECT conv_id AS doc_id, turn * 10 - 5 AS at, turn % 3 AS level FROM conversations WHERE turn % 3 = 1),
+m AS (SELECT * FROM (VALUES (0, 0, 0), (0, 1, 0), (2, 0, 1), (2, 1, 1), (4, 0, 2), (4, 1, 1)) AS t(style_id, level, kind)),
+a AS (SELECT p.doc_id, p.seq, arg_max(r.style_id, r.at) AS style_id FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.at <= p.at GROUP BY ALL),
+b AS (SELECT p.doc_id, p.seq, coalesce(arg_max(l.level, l.at), 0) AS level FROM p LEFT JOIN l ON l.doc_id = p.doc_id AND l.at <= p.at GROUP BY ALL)
+SELECT a.doc_id, a.seq, CASE WHEN kind <> 0 THEN b.level END AS level, coalesce(kind = 2, false) AS ordered FROM a JOIN b USING (doc_id, seq) LEFT JOIN m ON m.style_id = a.style_id AND m.level = b.level
+"""
+)
+def p7_list_members(spark, folder):
+    """List items by the list style and level in force, over turns as paragraphs; style 4 takes its first marker from its parent."""
+    turns = table(spark, folder, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), (F.col("turn") * 10).alias("at"))
+    runs = turns.where("seq % 2 = 0").select("doc_id", "at", (F.col("seq") % 6).alias("style_id"))
+    levels = turns.where("seq % 3 = 1").select("doc_id", (F.col("at") - 5).alias("at"), (F.col("seq") % 3).alias("level"))
+    known = "array(named_struct('style_id', 0L, 'parent_id', null, 'markers', array(0)), named_struct('style_id', 2L, 'parent_id', null, 'markers', array(1)), named_struct('style_id', 4L, 'parent_id', 9L, 'markers', null), named_struct('style_id', 9L, 'parent_id', null, 'markers', array(2, 1)))"
+    styles = turns.select("doc_id").distinct().select("doc_id", F.inline(F.expr(known)))
+    return paragraphs.list_members(turns, levels, runs, styles)
+
+
+@query("SELECT doc_id, md5(text) AS text_md5, CASE doc_id % 3 WHEN 0 THEN 'rtl' WHEN 1 THEN 'ltr' END AS direction, ((doc_id % 256) / 255.0)::DOUBLE AS red, CASE doc_id % 2 WHEN 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS alpha FROM documents")
+def f_addresses_and_colours(spark, folder):
+    """Every text through a data address, Base64 or percent-escaped; a direction and a colour for each document."""
+    d = table(spark, folder, "documents")
+    uri = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("data:text/plain;BASE64,"), F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", ""))).otherwise(F.concat(F.lit("data:,"), F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20"))))
+    lead = F.when(F.col("doc_id") % 3 == 0, "12 שלום abc").when(F.col("doc_id") % 3 == 1, "(7) abc שלום").otherwise("12 !?")
+    red = F.lpad(F.hex(F.col("doc_id") % 256), 2, "0")
+    colour = T.css_color(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("#"), red, F.lit("00FF"))).otherwise(F.concat(F.lit("rgba( "), (F.col("doc_id") % 256).cast("string"), F.lit(", 0,0 , .5)"))))
+    return d.select("doc_id", F.md5(T.data_text(uri)).alias("text_md5"), T.first_strong_direction(lead).alias("direction"), colour["r"].alias("red"), colour["a"].alias("alpha"))
