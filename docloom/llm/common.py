@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A table is broadcast only if its measured size in memory stays below this.
 BROADCAST_BYTES = 8 << 20
 #: Rows of an Arrow batch that carries whole texts.
-TEXT_ROWS = 2000
+TEXT_ROWS = 512
 
 
 def shared_folder(spark: SparkSession) -> str:
