@@ -192,17 +192,19 @@ def collapsed(text: Column | str) -> Column:
     return F.concat(F.when(t.startswith(" "), " ").otherwise(""), body, F.when(t.endswith(" "), " ").otherwise(""))
 
 
-# Heading words of older page files by language, with their levels.
-LEGACY_TITLES = ("title", "titel", "titre", "título", "titolo", "タイトル")
-LEGACY_HEADINGS = ("heading", "überschrift", "titre de section", "encabezado", "intestazione", "見出し")
+# Words of older page files' style names by language; which level they mean.
+LEGACY_SUBTITLES = ("subtitle", "untertitel", "sous-titre")
+LEGACY_TITLES = ("title", "titel", "titre", "título", "titolo")
+LEGACY_HEADINGS = ("heading", "überschrift", "ueberschrift", "encabezado", "rubrik", "titre")
 
 
 def legacy_heading(name: Column | str) -> Column:
-    """Heading level of an older page file's style name: titles are 1, headings by their digit or 1."""
+    """Heading level that an older page file's style name tells, or null: subtitles 2, titles 1, headings by their first digit (1 to 6), 2 without one."""
     n = F.lower(_c(name))
-    digit = F.regexp_extract(n, r"([1-6])", 1)
-    any_of = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: n.startswith(w))
-    return F.when(any_of(LEGACY_HEADINGS), F.when(digit != "", F.try_to_number(digit, F.lit("9")).cast("int")).otherwise(1)).when(any_of(LEGACY_TITLES), 1)
+    digit = F.regexp_extract(n, r"(\p{N})", 1)
+    level = F.when(digit.rlike("^[0-9]$"), F.greatest(F.least(digit.try_cast("int"), F.lit(6)), F.lit(1))).otherwise(2)
+    any_of = lambda words: reduce(lambda a, b: a | b, [n.contains(w) for w in words])
+    return F.when(any_of(LEGACY_SUBTITLES), 2).when(any_of(LEGACY_TITLES), 1).when(any_of(LEGACY_HEADINGS), level)
 
 
 def print_document(fragment: Column | str, title: Column | str, paper: str = "A4", landscape: bool = False, break_level: int | None = None, css: str = "") -> Column:

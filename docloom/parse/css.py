@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from docloom.parse.html_tree import ELEMENT, Tree
 
@@ -11,10 +12,66 @@ _PART = re.compile(r"""(?P<tag>\*|[A-Za-z][\w-]*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w
 # Properties that children take over, and the sides of box shorthands.
 INHERITED = frozenset("color font-family font-size font-style font-weight line-height list-style-type text-align text-indent text-transform visibility white-space direction quotes".split())
 SIDES = ("top", "right", "bottom", "left")
+# What the parts of border shorthands may be, and the standard's colour names.
+BORDER_STYLES = frozenset("none hidden solid dashed dotted double groove ridge inset outset".split())
+BORDER_WIDTHS = frozenset("thin medium thick".split())
+COLORS = frozenset(
+    """
+    transparent currentcolor aliceblue antiquewhite aqua aquamarine azure beige bisque black blanchedalmond blue blueviolet brown burlywood cadetblue chartreuse
+    chocolate coral cornflowerblue cornsilk crimson cyan darkblue darkcyan darkgoldenrod darkgray darkgreen darkgrey darkkhaki darkmagenta darkolivegreen darkorange
+    darkorchid darkred darksalmon darkseagreen darkslateblue darkslategray darkslategrey darkturquoise darkviolet deeppink deepskyblue dimgray dimgrey dodgerblue
+    firebrick floralwhite forestgreen fuchsia gainsboro ghostwhite gold goldenrod gray green greenyellow grey honeydew hotpink indianred indigo ivory khaki lavender
+    lavenderblush lawngreen lemonchiffon lightblue lightcoral lightcyan lightgoldenrodyellow lightgray lightgreen lightgrey lightpink lightsalmon lightseagreen
+    lightskyblue lightslategray lightslategrey lightsteelblue lightyellow lime limegreen linen magenta maroon mediumaquamarine mediumblue mediumorchid mediumpurple
+    mediumseagreen mediumslateblue mediumspringgreen mediumturquoise mediumvioletred midnightblue mintcream mistyrose moccasin navajowhite navy oldlace olive olivedrab
+    orange orangered orchid palegoldenrod palegreen paleturquoise palevioletred papayawhip peachpuff peru pink plum powderblue purple rebeccapurple red rosybrown
+    royalblue saddlebrown salmon sandybrown seagreen seashell sienna silver skyblue slateblue slategray slategrey snow springgreen steelblue tan teal thistle tomato
+    turquoise violet wheat white whitesmoke yellow yellowgreen
+    """.split()
+)
+_VALUE = re.compile(r"""\"[^\"]*\"|'[^']*'|[^\s(]*\((?:[^()]|\([^()]*\))*\)|[^\s(]+""")
+_LENGTH = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[a-z]+)?", re.I)
+_N, _PCT = r"\s*[+-]?(?:\d+\.?\d*|\.\d+)\s*", r"\s*[+-]?(?:\d+\.?\d*|\.\d+)%\s*"
+_RGB = rf"(?:\s*[+-]?\d+\s*(?:,\s*[+-]?\d+\s*){{2}}|{_PCT},{_PCT},{_PCT})"
+_HSL = rf"{_N},{_PCT},{_PCT}"
+_COLOR_CALL = re.compile(rf"rgb\({_RGB}\)|rgba\({_RGB},{_N}\)|hsl\({_HSL}\)|hsla\({_HSL},{_N}\)", re.I)
+_HEX = re.compile(r"#(?:[0-9a-f]{3,4}|[0-9a-f]{6}|[0-9a-f]{8})", re.I)
+
+
+def is_color(token: str) -> bool:
+    return token.lower() in COLORS or bool(_HEX.fullmatch(token) or _COLOR_CALL.fullmatch(token))
+
+
+def longhands(name: str, value: str) -> list[tuple[str, str]]:
+    """(property, value) of what a shorthand sets; none for a box of no or over four values, and for a background without a colour."""
+    parts = _VALUE.findall(value)
+    head, _, tail = name.partition("-")
+    if name in ("margin", "padding") or (head == "border" and tail in ("width", "style", "color")):
+        if not 1 <= len(parts) <= 4:
+            return []
+        right = parts[min(1, len(parts) - 1)]
+        given = (parts[0], right, parts[2] if len(parts) > 2 else parts[0], parts[3] if len(parts) > 3 else right)
+        return [(f"{head}-{s}" + (f"-{tail}" if tail else ""), v) for s, v in zip(SIDES, given, strict=True)]
+    if name == "border" or (head == "border" and tail in SIDES):
+        # what is left out goes back to its first value
+        own = {"width": "medium", "style": "none", "color": "currentcolor"}
+        for part in parts:
+            if part.lower() in BORDER_STYLES:
+                own["style"] = part
+            elif part.lower() in BORDER_WIDTHS or _LENGTH.fullmatch(part):
+                own["width"] = part
+            elif is_color(part):
+                own["color"] = part
+        return [(f"border-{s}-{kind}", v) for s in ([tail] if tail else SIDES) for kind, v in own.items()]
+    if name in ("page-break-before", "page-break-after", "page-break-inside"):
+        return [(tail, value)]
+    if name == "background":
+        return [("background-color", part) for part in parts if is_color(part)][:1]
+    return [(name, value)]
 
 
 def declarations(text: str) -> list[tuple[str, str, bool]]:
-    """(property, value, important) of a declaration list; box shorthands by side."""
+    """(property, value, important) of a declaration list, shorthands as what they set."""
     out = []
     for part in re.split(r";(?=(?:[^\"']|\"[^\"]*\"|'[^']*')*$)", _COMMENT.sub("", text)):
         name, colon, value = part.partition(":")
@@ -23,14 +80,7 @@ def declarations(text: str) -> list[tuple[str, str, bool]]:
             continue
         important = bool(re.search(r"!\s*important$", value, re.I))
         value = re.sub(r"\s*!\s*important$", "", value, flags=re.I)
-        if name in ("margin", "padding"):
-            sides = (value.split() * 4)[:4]
-            given = value.split()
-            if len(given) == 3:
-                sides = [*given, given[1]]
-            out += [(f"{name}-{s}", v, important) for s, v in zip(SIDES, sides, strict=True)]
-        else:
-            out.append((name, value, important))
+        out += [(prop, v, important) for prop, v in longhands(name, value)]
     return out
 
 
@@ -60,6 +110,7 @@ def rules(css: str) -> list[dict]:
     return out
 
 
+@lru_cache(maxsize=4096)
 def _compounds(selector: str) -> list[tuple[str, list[re.Match]]]:
     """(combinator before it, simple selectors) from left to right."""
     tokens = re.findall(r"\s*[>+~]\s*|\s+|(?:\[[^\]]*\]|[^\s>+~\[])+", selector.strip())
@@ -133,21 +184,39 @@ def matches(tree: Tree, i: int, selector: str) -> bool:
     return bool(parts) and fits(i, len(parts) - 1)
 
 
+def _anchor(selector: str) -> str | None:
+    """An id, class or tag without which a node cannot match; ``*`` if there is none, None for a selector that matches nothing."""
+    parts = _compounds(selector)
+    if not parts:
+        return None
+    simple = parts[-1][1]
+    for group, mark in (("id", "#"), ("cls", "."), ("tag", "")):
+        for m in simple:
+            if m[group] and m[group] != "*":
+                return mark + (m[group] if mark else m[group].lower())
+    return "*"
+
+
 def styles(tree: Tree, css: str) -> list[dict]:
     """Rows (node_id, prop, value, inherited): cascade by importance, inline style, specificity and order, then inheritance."""
-    sheet = rules(css)
+    anchored: dict[str | None, dict[str, list[dict]]] = {}
+    for r in rules(css):
+        anchored.setdefault(_anchor(r["selector"]), {}).setdefault(r["selector"], []).append(r)
     computed: dict[int, dict[str, str]] = {0: {}}
     out = []
     for i in range(1, len(tree)):
         if tree.kind[i] != ELEMENT:
             continue
         best: dict[str, tuple] = {}
-        for r in sheet:
-            if matches(tree, i, r["selector"]):
+        attrs = tree.attrs[i]
+        places = dict.fromkeys(["*", tree.tag[i].lower(), f"#{attrs.get('id', '')}", *(f".{c}" for c in attrs.get("class", "").split())])
+        met = [held for place in places for selector, held in anchored.get(place, {}).items() if matches(tree, i, selector)]
+        for held in met:
+            for r in held:
                 key = (r["important"], 0, r["a"], r["b"], r["c"], r["ord"])
                 if r["prop"] not in best or key > best[r["prop"]][0]:
                     best[r["prop"]] = (key, r["value"])
-        for n, (prop, value, important) in enumerate(declarations(tree.attrs[i].get("style", ""))):
+        for n, (prop, value, important) in enumerate(declarations(attrs.get("style", ""))):
             key = (important, 1, 0, 0, 0, n)
             if prop not in best or key > best[prop][0]:
                 best[prop] = (key, value)

@@ -8,6 +8,8 @@ import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
+from docloom.parse import iwork_xml
+
 # Object types and field numbers of the format.
 STORAGE, TABLE_INFO, TABLE_MODEL, TILE_ROWS = 2001, 6000, 6001, 5
 SHEET_DOCUMENT, SHEET, SLIDE_NODE, SLIDE, PLACEHOLDER, SHAPE, NOTE = 1, 2, 4, 5, 7, 2011, 15
@@ -302,6 +304,11 @@ def _row(info: Message, base: int, out: dict, strings: dict, styles: dict, rich:
 
 def sheets(content: bytes) -> Iterator[dict]:
     """Cells (sheet_seq, sheet, table_seq, row, col, kind, value, align) of a spreadsheet: sheets of the document, else all sheets, else all tables."""
+    older = iwork_xml.document(content) if not any(True for _ in entries(content)) else None
+    if older is not None:
+        for cell in iwork_xml.tables(older):
+            yield {"sheet_seq": 0, "sheet": None, "table_seq": cell["table_seq"], "row": cell["row"], "col": cell["col"], "kind": "text", "value": cell["value"], "align": cell["align"]}
+        return
     store = Store(content)
 
     def models(sheet: Message) -> list[int]:

@@ -783,7 +783,7 @@ def s5_decoded(spark, folder):
 
 
 _STYLES = [("Subtitle", None, 2), ("Title", None, 1), ("heading 4", None, 4), ("Body", 2, 3), ("My Subheading", None, 3), ("Plain", None, None)]
-_OLD_STYLES = [("Titel", 1), ("Überschrift 2", 2), ("Heading", 1), ("Text", None)]
+_OLD_STYLES = [("Titel", 1), ("Überschrift 2", 2), ("Heading", 2), ("Text", None), ("Untertitel", 2), ("My heading 9", 6), ("Sous-titre 3", 2), ("Rubrik 0", 1)]
 
 
 def _cases(values, by: str) -> str:
@@ -805,6 +805,42 @@ def p17_legacy_headings(spark, folder):
     return table(spark, folder, "documents").select("doc_id", T.legacy_heading(F.expr(_cases([s[0] for s in _OLD_STYLES], "doc_id"))).alias("level"))
 
 
+@query(
+    """
+SELECT doc_id AS path, 0 AS seq, md5(coalesce(text, '') || chr(10)) AS text_md5, 'Heading 3' AS style, 3 AS level FROM documents
+UNION ALL SELECT doc_id, 1, md5(coalesce(source, '') || chr(9) || coalesce(lang, '')), NULL, NULL FROM documents
+"""
+)
+def s19_older_paragraphs(spark, folder):
+    """Every document as the body of an older page file: a heading by a style's parent, a break, a tab, a prompt and a header that are left out."""
+    from docloom.sources.office import older_paragraphs
+
+    said = lambda c: T.escape_xml(F.coalesce(c, F.lit("")))
+    start = """<sl:document><sf:paragraphstyle sfa:ID="a" sf:name="Heading 3"/><sf:paragraphstyle sf:ident="b" sf:parent-ident="a"/><sf:text-storage sf:kind="header"><sf:p>top</sf:p></sf:text-storage><sf:text-storage sf:kind="body"><sf:text-body><sf:p sf:style="b"><sf:span>"""
+    parts = [F.lit(start), said("text"), F.lit("</sf:span><sf:br/></sf:p><sf:p><sf:ghost-text>Write here</sf:ghost-text>"), said("source"), F.lit("<sf:tab/>"), said("lang"), F.lit("</sf:p></sf:text-body></sf:text-storage></sl:document>")]
+    files = table(spark, folder, "documents").select(F.col("doc_id").alias("path"), F.encode(F.concat(*parts), "UTF-8").alias("content"))
+    return older_paragraphs(files).select("path", "seq", F.md5("text").alias("text_md5"), "style", "level")
+
+
+@query(
+    """
+WITH o AS (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS row, count(*) OVER (PARTITION BY o_custkey)::INT AS n FROM orders)
+SELECT o_custkey AS path, n AS n_rows, row, 0 AS col, o_orderpriority AS value, 'left' AS align FROM o
+UNION ALL SELECT o_custkey, n, row, 1, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderkey::VARCHAR END, CASE WHEN bool_or(row > 0 AND o_orderkey % 3 <> 0) OVER (PARTITION BY o_custkey) THEN 'right' ELSE 'left' END FROM o
+"""
+)
+def s21_older_cells(spark, folder):
+    """Every customer's orders as the grid of an older sheet file: text, number and blank cells."""
+    from docloom.sources.office import older_cells
+
+    number = F.when(F.col("o_orderkey") % 3 == 0, "<sf:g/>").otherwise(F.concat(F.lit('<sf:n sf:v="'), F.col("o_orderkey").cast("string"), F.lit('"/>')))
+    pair = F.concat(F.lit('<sf:t><sf:ct sfa:s="'), T.escape_xml("o_orderpriority"), F.lit('"/></sf:t>'), number)
+    orders = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("path")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", pair.alias("xml")))).alias("rows"))
+    start = F.concat(F.lit('<sf:tabular-model><sf:grid sf:numcols="2" sf:numrows="'), F.size("rows").cast("string"), F.lit('"><sf:datasource>'))
+    xml = F.concat(start, F.array_join(F.transform("rows", lambda r: r["xml"]), ""), F.lit("</sf:datasource></sf:grid></sf:tabular-model>"))
+    return older_cells(orders.select("path", F.encode(xml, "UTF-8").alias("content"))).select("path", "n_rows", "row", "col", "value", "align")
+
+
 @query("SELECT doc_id AS path, CASE doc_id % 3 WHEN 2 THEN NULL ELSE (doc_id % 4000 + 1)::INT END AS width, CASE doc_id % 3 WHEN 2 THEN NULL ELSE (n_chars % 3000 + 1)::INT END AS height FROM documents")
 def s28_image_sizes(spark, folder):
     """Sizes from image headers of two formats and from bytes that are neither."""

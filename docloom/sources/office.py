@@ -61,6 +61,19 @@ def page_paragraphs(files: DataFrame) -> DataFrame:
     return rowwise(files, _many("page_paragraphs", "iwork"), ["content"], "seq int, text string, font_size double, bold boolean, italic boolean, style_id long", ["path"], many=True)
 
 
+def older_paragraphs(files: DataFrame) -> DataFrame:
+    """(path, seq, text, style, level) of the body of older page files; ``level`` is the heading level of the style's name."""
+    from docloom.functions.text import legacy_heading
+
+    rows = rowwise(files, _many("paragraphs", "iwork_xml"), ["content"], "seq int, text string, style string", ["path"], many=True)
+    return rows.withColumn("level", legacy_heading("style"))
+
+
+def older_cells(files: DataFrame) -> DataFrame:
+    """Cells of the grids of older page and sheet files."""
+    return rowwise(files, _many("tables", "iwork_xml"), ["content"], "table_seq int, n_rows int, n_cols int, row int, col int, value string, align string", ["path"], many=True)
+
+
 def docx_markdown(files: DataFrame) -> DataFrame:
     """(path, text): the Markdown of word-processor files from their run tables: merged runs, headings, numbered lists, footnotes."""
     from docloom.functions.text import four_space_tabs, heading_level

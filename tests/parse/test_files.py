@@ -3,7 +3,7 @@ import struct
 import pytest
 
 from docloom.functions.sanitize import sanitize
-from docloom.parse import css, html_tree, iwork, layout, office
+from docloom.parse import css, html_tree, iwork, iwork_xml, layout, office
 
 
 def vint(n):
@@ -146,3 +146,39 @@ def test_css():
     got = {(r["node_id"], r["prop"]): (r["value"], r["inherited"]) for r in css.styles(tree, "p { color: blue; margin: 1px 2px } #x { color: green } p { color: black !important }")}
     assert got[p1, "color"] == ("black", False) and got[p1, "margin-left"] == ("2px", False)
     assert got[p1 + 2, "color"] == ("black", True)
+
+
+def test_shorthands():
+    sides = lambda name, value: dict(css.longhands(name, value))
+    assert sides("padding", "1px 2px 3px") == {"padding-top": "1px", "padding-right": "2px", "padding-bottom": "3px", "padding-left": "2px"}
+    assert sides("border-color", "red rgb(1, 2, 3)") == {"border-top-color": "red", "border-right-color": "rgb(1, 2, 3)", "border-bottom-color": "red", "border-left-color": "rgb(1, 2, 3)"}
+    assert sides("margin", "1px 2px 3px 4px 5px") == {} == sides("margin", "")
+    assert sides("border-left", "dashed hsl(20, 10%, 5%)") == {"border-left-width": "medium", "border-left-style": "dashed", "border-left-color": "hsl(20, 10%, 5%)"}
+    assert sides("border", "2px")["border-bottom-width"] == "2px" and len(sides("border", "2px")) == 12
+    assert css.longhands("page-break-after", "always") == [("break-after", "always")]
+    assert css.longhands("background", "url(a b.png) no-repeat #abcd red") == [("background-color", "#abcd")] and css.longhands("background", "url(x)") == []
+    assert css.is_color("RebeccaPurple") and css.is_color("rgba(1,2,3,.5)") and not any(map(css.is_color, ("#12345", "rgb(1,2)", "rgb(1,2%,3)", "solid")))
+
+
+def test_styles_by_any_anchor():
+    tree = html_tree.parse('<div id="x" class="a b"><p class="c">t</p></div>')
+    got = {(tree.tag[r["node_id"]], r["prop"]): r["value"] for r in css.styles(tree, "* { a: 1 } DIV { b: 2 } .b { c: 3 } #x { d: 4 } div .c { e: 5 } :first-child { f: 6 } .a.b { c: 7 } p { c: 8 }")}
+    assert {k: v for k, v in got.items() if k[0] in ("div", "p")} == {("div", "a"): "1", ("div", "b"): "2", ("div", "c"): "7", ("div", "d"): "4", ("div", "f"): "6", ("p", "a"): "1", ("p", "c"): "8", ("p", "e"): "5", ("p", "f"): "6"}
+
+
+OLDER = b"""<?xml version="1.0"?><sl:document xmlns:sl="l" xmlns:sf="f" xmlns:sfa="a"><sf:paragraphstyle sfa:ID="s-1" sf:ident="lead" sf:name="Titel"/>
+<sf:paragraphstyle sf:ident="s-2" sf:parent-ident="lead"/><sf:paragraphstyle sf:ident="loop" sf:parent-ident="loop"/>
+<sf:text-storage sf:kind="note"><sf:p>aside</sf:p></sf:text-storage>
+<sf:text-storage sf:kind="body"><sf:p sf:style="s-2">One<sf:br/>&amp; two<sf:ghost-text>prompt<sf:tab/></sf:ghost-text></sf:p><sf:p sf:style="loop">a<sf:tab/>b</sf:p><sf:p/></sf:text-storage>
+<sf:tabular-model><sf:grid sf:numcols="2" sf:numrows="3"><sf:datasource><sf:t><sf:ct sfa:s="k"/></sf:t><sf:t><sf:ct/></sf:t><sf:g/><sf:n sf:v="2.5"/><sf:f><sf:fo sf:fs="=SUM(B)"/></sf:f></sf:datasource></sf:grid></sf:tabular-model></sl:document>"""
+
+
+def test_older_pages_and_grids():
+    for content in (OLDER, office.zipped([("index.xml", OLDER)])):
+        assert [(r["seq"], r["text"], r["style"]) for r in iwork_xml.paragraphs(content)] == [(0, "One\n& two", "Titel"), (1, "a\tb", None), (2, "", None)]
+        cells = list(iwork_xml.tables(content))
+        assert [(c["row"], c["col"], c["value"], c["align"]) for c in cells] == [(0, 0, "k", "left"), (0, 1, "", "right"), (1, 0, "", "left"), (1, 1, "2.5", "right"), (2, 0, "=SUM(B)", "left")]
+    assert [c["value"] for c in iwork.sheets(office.zipped([("index.xml", OLDER)]))] == ["k", "", "", "2.5", "=SUM(B)"]
+    assert iwork_xml.paragraphs(b"") == [] == list(iwork_xml.tables(office.zipped([("other", b"")])))
+    with pytest.raises(ValueError):
+        iwork_xml.document(office.zipped([("index.xml.gz", b"")]))
