@@ -361,15 +361,18 @@ def slide_texts(content: bytes) -> Iterator[dict]:
         idx += 1
 
 
+def bodies(store: Store) -> list[Message]:
+    """Texts of a page file's body: storages of kind 0, or if they hold nothing the longest that is no header."""
+    storages = [m for _, m in store.of(STORAGE)]
+    found = [m for m in storages if m.number(1) == 0]
+    if any(map(storage_text, found)):
+        return found
+    return sorted((m for m in storages if m.number(1) != 1), key=lambda m: -len(storage_text(m)))[:1]
+
+
 def page_paragraphs(content: bytes) -> Iterator[dict]:
-    """Paragraphs (seq, text, font_size, bold, italic, style_id) of a page file's body: kind 0, else the longest storage that is no header."""
+    """Paragraphs (seq, text, font_size, bold, italic, style_id) of a page file's body."""
     store = Store(content)
-    bodies = [m for _, m in store.of(STORAGE) if m.number(1) == 0] or sorted((m for _, m in store.of(STORAGE) if m.number(1) != 1), key=lambda m: -len(storage_text(m)))
-    if not bodies:
-        return
-    body = bodies[0]
-    text = storage_text(body)
-    runs = sorted(((e.number(1, 0), e.ref(2)) for e in (Message(x) for x in (body.message(5).many(1) if body.message(5) else []))), key=lambda r: r[0])
 
     def looked_up(style: int | None, read) -> object:
         for _ in range(8):
@@ -384,9 +387,12 @@ def page_paragraphs(content: bytes) -> Iterator[dict]:
             style = above.ref(3) if above else None
         return None
 
-    at = seq = 0
-    for part in text.replace("\u2029", "\n").split("\n"):
-        style = next((s for start, s in reversed(runs) if start <= at), None)
-        yield {"seq": seq, "text": part, "font_size": looked_up(style, lambda p: p.float(3)), "bold": bool(looked_up(style, lambda p: p.number(1))), "italic": bool(looked_up(style, lambda p: p.number(2))), "style_id": style}
-        at += len(part.encode("utf-16-le")) // 2 + 1
-        seq += 1
+    seq = 0
+    for body in bodies(store):
+        runs = sorted(((e.number(1, 0), e.ref(2)) for e in (Message(x) for x in (body.message(5).many(1) if body.message(5) else []))), key=lambda r: r[0])
+        at = 0
+        for part in storage_text(body).replace("\u2029", "\n").split("\n"):
+            style = next((s for start, s in reversed(runs) if start <= at), None)
+            yield {"seq": seq, "text": part, "font_size": looked_up(style, lambda p: p.float(3)), "bold": bool(looked_up(style, lambda p: p.number(1))), "italic": bool(looked_up(style, lambda p: p.number(2))), "style_id": style}
+            at += len(part.encode("utf-16-le")) // 2 + 1
+            seq += 1

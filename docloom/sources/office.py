@@ -61,6 +61,18 @@ def page_paragraphs(files: DataFrame) -> DataFrame:
     return rowwise(files, _many("page_paragraphs", "iwork"), ["content"], "seq int, text string, font_size double, bold boolean, italic boolean, style_id long", ["path"], many=True)
 
 
+def page_footnotes(files: DataFrame) -> DataFrame:
+    return rowwise(files, _many("footnotes", "iwork_links"), ["content"], "number int, body_seq int, place int, note_id long, text string", ["path"], many=True)
+
+
+def page_images(files: DataFrame) -> DataFrame:
+    return rowwise(files, _many("images", "iwork_links"), ["content"], "data_id long, file string, name string", ["path"], many=True)
+
+
+def page_anchors(files: DataFrame) -> DataFrame:
+    return rowwise(files, _many("anchored_images", "iwork_links"), ["content"], "body_seq int, place int, data_id long, name string", ["path"], many=True)
+
+
 def older_paragraphs(files: DataFrame) -> DataFrame:
     """(path, seq, text, style, level) of the body of older page files; ``level`` is the heading level of the style's name."""
     from docloom.functions.text import legacy_heading

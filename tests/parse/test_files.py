@@ -3,7 +3,7 @@ import struct
 import pytest
 
 from docloom.functions.sanitize import sanitize
-from docloom.parse import css, html_tree, iwork, iwork_xml, layout, office
+from docloom.parse import css, html_tree, iwork, iwork_links, iwork_xml, layout, office
 
 
 def vint(n):
@@ -182,3 +182,37 @@ def test_older_pages_and_grids():
     assert iwork_xml.paragraphs(b"") == [] == list(iwork_xml.tables(office.zipped([("other", b"")])))
     with pytest.raises(ValueError):
         iwork_xml.document(office.zipped([("index.xml.gz", b"")]))
+
+
+def run(place, i):
+    return sub(1, num(1, place) + sub(2, num(1, i)))
+
+
+def test_footnotes_of_pages():
+    note = lambda t: num(1, 2) + sub(3, t.encode())
+    first = num(1, 0) + sub(3, b"ab") + sub(9, run(2, 50) + run(1, 60)) + sub(12, run(0, 99))
+    second = num(1, 0) + sub(3, b"c") + sub(9, run(1, 70))
+    objects = [(1, 2001, first), (2, 2001, second), (70, 2001, note("\ufffc one\ttwo\u2028three ")), (50, 900, sub(2, num(1, 51))), (51, 900, sub(1, num(1, 52))), (52, 900, sub(1, num(1, 53))), (53, 900, sub(1, num(1, 70)))]
+    # 50 is too far from the note, 60 is two steps away
+    objects += [(60, 900, sub(2, num(1, 60)) + sub(3, num(1, 61))), (61, 900, sub(1, num(1, 70)))]
+    got = [(r["number"], r["body_seq"], r["place"], r["note_id"], r["text"]) for r in iwork_links.footnotes(bundle(("Document", archive(*objects))))]
+    assert got == [(1, 0, 1, 70, "one two three"), (2, 1, 1, 70, "one two three")]
+    nearer = bundle(("Document", archive(*[(i, t, sub(1, num(1, 70)) if i == 53 else p) for i, t, p in objects if i != 50], (50, 900, sub(2, num(1, 52))))))
+    assert [r["place"] for r in iwork_links.footnotes(nearer)] == [1, 2, 1]
+
+
+def test_images_of_pages():
+    entry = lambda i, name: sub(3, num(1, i) + sub(4, name.encode()))
+    files = {9: "map-31.png", 3: "map-7.png", 5: "map-12-small.png", 6: "PresetImageFill2-4.jpg", 7: "bullet_gray-1.png", 8: "scan.TIFF", 4: "notes.txt", 2: "a/b.png", 11: "map-1-44.png"}
+    body = num(1, 0) + sub(3, "x\U0001d11e\ufffc\ufffc\ufffc".encode()) + sub(9, run(3, 20) + run(4, 30) + run(5, 40) + run(1, 20))
+    wrapped = [(20, 900, sub(1, num(1, 21))), (21, 901, sub(8, num(1, 9))), (30, 900, sub(2, num(1, 5))), (40, 900, sub(2, num(1, 8)) + sub(3, num(1, 3)))]
+    content = bundle(("Document", archive((1, 2001, body), *wrapped)), ("Metadata", archive((2, 11006, b"".join(entry(i, n) for i, n in files.items())))))
+    assert [(r["data_id"], r["name"]) for r in iwork_links.images(content)] == [(3, "map.png"), (8, "scan.TIFF"), (9, "map-1.png"), (11, "map-1-1.png")]
+    assert [(r["place"], r["name"]) for r in iwork_links.anchored_images(content)] == [(3, "map-1.png"), (5, "scan.TIFF")]
+
+
+def test_body_of_several_storages():
+    paragraph = lambda *o: [(r["seq"], r["text"]) for r in iwork.page_paragraphs(bundle(("Document", archive(*o))))]
+    text = lambda kind, t: num(1, kind) + sub(3, t)
+    assert paragraph((1, 2001, text(0, b"a\nb")), (2, 2001, text(0, b"c"))) == [(0, "a"), (1, "b"), (2, "c")]
+    assert paragraph((1, 2001, text(0, b"")), (2, 2001, text(1, b"a long header")), (3, 2001, text(3, b"box"))) == [(0, "box")]
