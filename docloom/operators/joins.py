@@ -96,6 +96,21 @@ def first_wins(rows: DataFrame, keys: list[str], order: Column | str) -> DataFra
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_r = 1").drop("_r")
 
 
+def best_fit(objects: DataFrame, schemas: DataFrame, *, samples: int = 4) -> DataFrame:
+    """(type, message): the one message that knows every field of a type's first ``samples`` objects; none where two do.
+
+    ``objects`` has a row (type, object, field) for each field, ``schemas``
+    (message, field).  The limit by type is applied before the shuffle.
+    """
+    order = Window.partitionBy("type").orderBy("object")
+    first = objects.select("type", "object").distinct().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= samples).drop("_r")
+    fields = objects.select("type", "object", "field").join(first, ["type", "object"], "left_semi").groupBy("type", "field").agg(F.count(F.lit(1)).alias("n"))
+    total = fields.groupBy("type").agg(F.sum("n").alias("total"))
+    known = fields.join(schemas.select("message", "field").distinct(), "field").groupBy("type", "message").agg(F.sum("n").alias("known"))
+    whole = known.join(total, "type").where("known = total").groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.min("message").alias("message"))
+    return whole.where("n = 1").select("type", "message")
+
+
 def cascade(declarations: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, prop, value): the winning declaration by level, specificity (a, b, c) and order; rows (keys, prop, value, level, a, b, c, ord)."""
     return declarations.groupBy(*keys, "prop").agg(F.max_by("value", F.struct("level", "a", "b", "c", "ord")).alias("value"))

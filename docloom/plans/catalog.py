@@ -436,6 +436,23 @@ def p21_reachable(spark, folder):
     return joins.reachable(edges, spark.createDataFrame([(0, 0), (1, 3)], "doc_id int, id int"))
 
 
+_SCHEMAS = "(VALUES ('a', 1), ('a', 2), ('b', 1), ('b', 2), ('b', 3), ('b', 4), ('c', 2), ('c', 3), ('c', 4), ('c', 5), ('c', 6), ('c', 7), ('d', 1), ('d', 3), ('d', 5), ('d', 7)) AS s(message, field)"
+
+
+@query(
+    f"""
+WITH f AS (SELECT l_partkey AS type, l_linenumber AS field FROM lineitem QUALIFY dense_rank() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) <= 4),
+k AS (SELECT type, message, count(*) AS known FROM f JOIN {_SCHEMAS} ON s.field = f.field GROUP BY ALL),
+t AS (SELECT type, count(*) AS total FROM f GROUP BY type)
+SELECT type, min(message) AS message FROM k JOIN t USING (type) WHERE known = total GROUP BY type HAVING count(*) = 1
+"""
+)
+def p22_best_fit(spark, folder):
+    """Schemas that fit whole: parts as types, their orders as objects, line numbers as fields."""
+    objects = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("type"), F.col("l_orderkey").alias("object"), F.col("l_linenumber").alias("field"))
+    return joins.best_fit(objects, spark.sql(f"SELECT * FROM {_SCHEMAS}"))
+
+
 @query("SELECT l_orderkey, l_suppkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_linenumber, l_partkey, l_suppkey) = 1")
 def p23_first_wins(spark, folder):
     """The first writer of each key, over order lines."""
