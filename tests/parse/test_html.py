@@ -82,3 +82,11 @@ def test_main_content():
     assert tier == "scored" and tree.attrs[node].get("class") == "post-body"
     tree = html_tree.parse("<body><nav>only furniture</nav><nav>only furniture</nav><nav>only furniture</nav></body>")
     assert html_main.select(tree)[2] == "whole"
+
+
+def test_references_without_their_end():
+    """A named reference is whole or is text, also in attributes; numbers need no end; raw text stays."""
+    tree = html_tree.parse('<p title="a&amp b&lt;">x &amp</p><p>&amp;&copy;&ampere;&nosuch; &#65 &am</p><script>a&amp b&amp;</script>')
+    assert [t for t, k in zip(tree.text, tree.kind, strict=True) if k == "text"] == ["x &amp", "&\u00a9&ampere;&nosuch; A &am"]
+    assert tree.attrs[1] == {"title": "a&amp b<"}
+    assert [t for t, k in zip(tree.text, tree.kind, strict=True) if k == "raw"] == ["a&amp b&amp;"]
