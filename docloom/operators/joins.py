@@ -111,9 +111,15 @@ def best_fit(objects: DataFrame, schemas: DataFrame, *, samples: int = 4) -> Dat
     return whole.where("n = 1").select("type", "message")
 
 
-def cascade(declarations: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, prop, value): the winning declaration by level, specificity (a, b, c) and order; rows (keys, prop, value, level, a, b, c, ord)."""
-    return declarations.groupBy(*keys, "prop").agg(F.max_by("value", F.struct("level", "a", "b", "c", "ord")).alias("value"))
+def cascade(declarations: DataFrame, keys: list[str], *, place: str | None = None) -> DataFrame:
+    """(keys, prop, value): the winning declaration by level, specificity (a, b, c) and order; rows (keys, prop, value, level, a, b, c, ord).
+
+    A null counts as the largest, rows without a value do not count.  Of equal
+    declarations the one with the least ``place`` (a number) wins; without it, any.
+    """
+    rank = [x for c in ("level", "a", "b", "c", "ord") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    rank = F.struct(*rank, *([(-F.col(place)).alias("place")] if place else []))
+    return declarations.groupBy(*keys, "prop").agg(F.max_by("value", F.when(F.col("value").isNotNull(), rank)).alias("value"))
 
 
 def sessions(events: DataFrame, keys: list[str], at: str, gap_seconds: float, cap_seconds: float | None = None) -> DataFrame:

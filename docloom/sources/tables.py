@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def table_in_order(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table with ``place``: a number that rises from row to row of a file, and from file to file by name."""
+    rows = table(spark, folder, name)
+    # file:/ and file:/// are one
+    names, columns = sorted(re.sub(r"^([^:/]+):/+", r"\1:/", n) for n in rows.inputFiles()), rows.columns
+    rows = rows.select("*", F.regexp_replace(F.col("_metadata.file_path"), r"^([^:/]+):/+", "$1:/").alias("_file"), F.col("_metadata.row_index").alias("place"))
+    if len(names) > 1:
+        ranks = spark.createDataFrame([(n, i << 40) for i, n in enumerate(names)], "_file string, _from long")
+        rows = rows.join(F.broadcast(ranks), "_file", "left").withColumn("place", F.coalesce("_from", F.lit(0)) + F.col("place"))
+    return rows.select(*columns, "place")
+
+
 def files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """(path, format, content) of binary files; ``pattern`` prunes by file name before anything is read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")

@@ -183,3 +183,20 @@ def test_sanitized_paths_agree(spark):
     for i, t in enumerate(texts):
         want = sanitize(t)
         assert {k: got[i][k] for k in want} == want
+
+
+def test_cascade_of_equal_declarations(spark):
+    """Equal declarations: the first in place; null ranks highest, null values do not count."""
+    rows = spark.createDataFrame([(1, "p", 7, 1, 0.5, 2), (1, "p", 8, 1, 0.5, 1), (1, "p", 9, 1, 0.5, 3), (2, "p", 5, 1, None, 1), (2, "p", 6, 1, 9.0, 2), (2, "p", None, 2, 1.0, 3), (3, "p", None, 1, 1.0, 1)], "k int, prop string, value int, level int, a double, place long")
+    rows = rows.withColumns({"b": F.lit(0), "c": F.lit(0), "ord": F.lit(1)})
+    assert {(r["k"], r["value"]) for r in joins.cascade(rows.repartition(3), ["k"], place="place").collect()} == {(1, 8), (2, 5), (3, None)}
+
+
+def test_table_in_order(spark, tmp_path):
+    from docloom.sources.tables import table_in_order
+
+    for name, ids in (("b", [5, 6]), ("a", [9, 1, 4])):
+        spark.createDataFrame([(i,) for i in ids], "id int").coalesce(1).write.parquet(str(tmp_path / name))
+        (tmp_path / "t.parquet").mkdir(exist_ok=True)
+        next((tmp_path / name).glob("*.parquet")).rename(tmp_path / "t.parquet" / f"{name}.parquet")
+    assert [r["id"] for r in table_in_order(spark, str(tmp_path), "t").orderBy("place").collect()] == [9, 1, 4, 5, 6]
