@@ -27,21 +27,39 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: st
     return rows.select("_row.*", *out)
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
-    """Adds ``value`` and ``distance`` of the right row nearest to each left row; of two as near, the one before it.
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, *, found: str | None = None) -> DataFrame:
+    """Adds ``value`` and ``distance`` (``found``: also the place) of the right row nearest to each left row.
 
-    A union and a running window in both directions, no inequality join.
+    Of two as near the one before it, of several at one place the one of the
+    largest value.  Right rows without a place (null, NaN) come last, and a left
+    row without one gets the key's first right row; null keys meet nothing.
+    A union and a running window in each direction, no inequality join.
     """
-    a = left.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_value"), F.struct(*left.columns).alias("_row"))
-    b = right.select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_value"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
-    other = F.when(F.col("_side") == 0, F.struct(F.col("_at").alias("at"), F.col("_value").alias("v")))
-    window = Window.partitionBy(*keys).orderBy("_at", "_side", "_value")
-    before = F.last(other, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(other, ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing))
-    rows = a.unionByName(b).withColumn("_before", before).withColumn("_after", after).where("_side = 1")
+    kind, of_value = right.schema[at].dataType, right.schema[value].dataType
+    known = lambda c: c.isNotNull() & ~F.isnan(c) if kind.typeName() in ("double", "float") else c.isNotNull()
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    a = left.where(whole).select(*keys, F.col(at).cast(kind).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(of_value).alias("_value"), F.struct(*left.columns).alias("_row"))
+    b = right.where(whole).select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_value"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
+    one = F.struct(F.col("_at").alias("at"), F.col("_value").alias("v"))
+    other = F.when((F.col("_side") == 0) & known(F.col("_at")), one)
+    by, so_far = Window.partitionBy(*keys), (Window.unboundedPreceding, 0)
+    rows = a.unionByName(b)
+    rows = rows.withColumn("_before", F.last(other, ignorenulls=True).over(by.orderBy("_at", "_side", "_value").rowsBetween(*so_far)))
+    # from the other end, so that the frame grows and is not summed up anew for each row
+    down = by.orderBy(F.desc("_at"), F.desc("_side"), "_value")
+    rows = rows.withColumn("_after", F.last(other, ignorenulls=True).over(down.rowsBetween(*so_far)))
+    rows = rows.withColumn("_any", F.last(F.when(F.col("_side") == 0, one), ignorenulls=True).over(by.orderBy(F.desc_nulls_first("_at"), F.desc("_side"), "_value").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     back, ahead = F.col("_at") - F.col("_before.at"), F.col("_after.at") - F.col("_at")
-    first = F.col("_after").isNull() | (F.coalesce(back <= ahead, F.lit(False)))
-    return rows.select("_row.*", F.when(first, F.col("_before.v")).otherwise(F.col("_after.v")).alias(value), F.when(first, back).otherwise(ahead).alias("distance"))
+    near = F.when(F.col("_after").isNull() | (back <= ahead), F.col("_before")).otherwise(F.col("_after"))
+    near = F.coalesce(F.when(known(F.col("_at")), near), F.col("_any"))
+    rows = rows.where("_side = 1").withColumn("_near", near)
+    distance = F.abs(F.col("_at") - F.col("_near.at"))
+    rows = rows.select("_row.*", F.col("_near.v").alias(value), distance.alias("distance"), *([F.col("_near.at").alias(found)] if found else []))
+    types = {f.name: f.dataType for f in rows.schema}
+    lost = left.where(~whole).select(*left.columns, *[F.lit(None).cast(types[c]).alias(c) for c in rows.columns if c not in left.columns])
+    return rows.unionByName(lost)
 
 
 def top_k(rows: DataFrame, keys: list[str], k: int, score: list[Column], order: list[str]) -> DataFrame:

@@ -185,6 +185,18 @@ def test_sanitized_paths_agree(spark):
         assert {k: got[i][k] for k in want} == want
 
 
+def test_nearest_ties_and_gaps(spark):
+    """Of several at one place the largest value, before and after; nulls, NaN and null keys as in SQL; no row is lost."""
+    nan = float("nan")
+    left = spark.createDataFrame([(1, 1, 5.0), (1, 2, 9.0), (1, 3, None), (1, 4, nan), (None, 5, 5.0), (2, 6, 1.0), (3, 7, 1.0), (1, 8, 5.0)], "k int, id int, at double")
+    right = spark.createDataFrame([(1, 7.0, 30), (1, 7.0, 33), (1, 7.0, 31), (1, 3.5, 8), (1, nan, 90), (1, None, 99), (None, 5.0, 60), (2, None, 11), (2, None, 12)], "k int, at double, other int")
+    got = {r["id"]: (r["other"], r["distance"]) for r in joins.nearest(left, right, ["k"], "at", "other").collect()}
+    assert got[1] == got[8] == (8, 1.5) and got[2] == (33, 2.0)
+    assert got[3] == (8, None) and got[4][0] == 8 and got[5] == (None, None) and got[6] == (12, None) and got[7] == (None, None)
+    after = joins.nearest(left.where("id = 1"), right.where("at = 7"), ["k"], "at", "other", found="f").first()
+    assert (after["other"], after["distance"], after["f"]) == (33, 2.0, 7.0)
+
+
 def test_cascade_of_equal_declarations(spark):
     """Equal declarations: the first in place; null ranks highest, null values do not count."""
     rows = spark.createDataFrame([(1, "p", 7, 1, 0.5, 2), (1, "p", 8, 1, 0.5, 1), (1, "p", 9, 1, 0.5, 3), (2, "p", 5, 1, None, 1), (2, "p", 6, 1, 9.0, 2), (2, "p", None, 2, 1.0, 3), (3, "p", None, 1, 1.0, 1)], "k int, prop string, value int, level int, a double, place long")
