@@ -212,3 +212,16 @@ def test_table_in_order(spark, tmp_path):
         (tmp_path / "t.parquet").mkdir(exist_ok=True)
         next((tmp_path / name).glob("*.parquet")).rename(tmp_path / "t.parquet" / f"{name}.parquet")
     assert [r["id"] for r in table_in_order(spark, str(tmp_path), "t").orderBy("place").collect()] == [9, 1, 4, 5, 6]
+
+
+def test_rowwise_values():
+    """Column by column the same values as cell by cell, for slices, nulls and empty arrays of nested rows."""
+    import pyarrow as pa
+
+    from docloom.plans.rowwise import values
+
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("t", pa.string()), ("n", pa.list_(pa.struct([("i", pa.int32())])))]))
+    rows = [[{"x": 1.5, "t": "a", "n": [{"i": 1}, None]}], None, [], [{"x": None, "t": None, "n": None}, None, {"x": float("inf"), "t": "b", "n": []}], [{"x": 2.0, "t": "c", "n": [{"i": None}]}]]
+    array = pa.array(rows, kind)
+    assert values(array) == rows and [values(array.slice(a, 2)) for a in range(5)] == [rows[a : a + 2] for a in range(5)]
+    assert values(pa.array([], kind)) == [] and values(pa.array([1, 2], pa.int64())) == [1, 2] and values(pa.array([b"x", None])) == [b"x", None]
