@@ -101,6 +101,8 @@ BLOCK = (
     "rows array<array<struct<x:double,y:double,w:double,h:double,text:string>>>"
 )
 
+FIELDS = tuple(x.split(" ", 1)[0] for x in BLOCK.split(", "))
+
 
 def _blocks(blocks: DataFrame) -> DataFrame:
     """One row a page: its blocks as an array, in order of seq."""
@@ -111,12 +113,18 @@ def _blocks(blocks: DataFrame) -> DataFrame:
     return rows.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.struct(*columns).alias("b")))), lambda x: x["b"]).alias("blocks"))
 
 
+def _made(outputs: tuple[str, ...]) -> str:
+    """The schema of (seq, the ``outputs`` of BLOCK)."""
+    kinds = dict(x.split(" ", 1) for x in BLOCK.split(", "))
+    return ", ".join(["seq int", *[f"{n} {kinds[n]}" for n in outputs]])
+
+
 def _many(step):
     return lambda *values: [b | {"seq": i} for i, b in enumerate(step(*values))]
 
 
-def composed(page_lines: DataFrame, blocks: DataFrame, page: tuple[float, float] = (1000.0, 1000.0)) -> DataFrame:
-    """(doc_id, page, seq, BLOCK): recognised blocks filled with the page's lines, the others attached or paragraphs of their own."""
+def composed(page_lines: DataFrame, blocks: DataFrame, page: tuple[float, float] = (1000.0, 1000.0), *, outputs: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(doc_id, page, seq, outputs): recognised blocks filled with the page's lines, the others attached or paragraphs of their own; ``outputs`` are columns of BLOCK."""
 
     def run(boxes, held):
         from docloom.parse import blocks as B
@@ -124,18 +132,18 @@ def composed(page_lines: DataFrame, blocks: DataFrame, page: tuple[float, float]
         return B.composed(sorted(boxes or [], key=lambda b: (b["y"], b["x"], b["text"])), held or [], page)
 
     both = _pages(page_lines).join(_blocks(blocks), PAGE, "full")
-    return rowwise(both, _many(run), ["boxes", "blocks"], f"seq int, {BLOCK}", PAGE, many=True)
+    return rowwise(both, _many(run), ["boxes", "blocks"], _made(outputs), PAGE, many=True)
 
 
-def post_processed(blocks: DataFrame, page: tuple[float, float] = (1000.0, 1000.0)) -> DataFrame:
-    """(doc_id, page, seq, BLOCK): ordered, merged, split and without repeats."""
+def post_processed(blocks: DataFrame, page: tuple[float, float] = (1000.0, 1000.0), *, outputs: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(doc_id, page, seq, outputs): ordered, merged, split and without repeats; ``outputs`` are columns of BLOCK."""
 
     def run(held):
         from docloom.parse import blocks as B
 
         return B.post_processed(held, page)
 
-    return rowwise(_blocks(blocks), _many(run), ["blocks"], f"seq int, {BLOCK}", PAGE, many=True)
+    return rowwise(_blocks(blocks), _many(run), ["blocks"], _made(outputs), PAGE, many=True)
 
 
 def blocks_markdown(blocks: DataFrame) -> DataFrame:

@@ -225,3 +225,12 @@ def test_rowwise_values():
     array = pa.array(rows, kind)
     assert values(array) == rows and [values(array.slice(a, 2)) for a in range(5)] == [rows[a : a + 2] for a in range(5)]
     assert values(pa.array([], kind)) == [] and values(pa.array([1, 2], pa.int64())) == [1, 2] and values(pa.array([b"x", None])) == [b"x", None]
+
+
+def test_block_outputs(spark):
+    """Only the columns asked for are made, with the same values."""
+    lines = spark.createDataFrame([(1, 0, i, 0.0, 20.0 * i, 50.0, 10.0, f"t{i}") for i in range(4)], "doc_id int, page int, seq int, x double, y double, w double, h double, text string")
+    blocks = lines.withColumn("kind", F.lit("paragraph")).withColumn("lines", F.array(F.struct("x", "y", "w", "h", "text")))
+    few = layout.post_processed(blocks, outputs=("kind", "text"))
+    assert few.columns == ["doc_id", "page", "seq", "kind", "text", "_error"]
+    assert rows(few, *few.columns) == rows(layout.post_processed(blocks), *few.columns)
